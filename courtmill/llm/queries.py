@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtmill.llm import leakage, sitelines, splitting, survivorship
+from courtmill.llm import canonical, leakage, pii, sitelines, splitting, survivorship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,20 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(items, ["item_kind", "item_id", "seg_no"], "item_text")
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_values(_table(spark, sf_dir, "source_record"), _table(spark, sf_dir, "ref_value"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry each free-entered value means, or 0."""
+    return _mapped(spark, sf_dir).select("ord", "field_name", "ref_id")
+
+
+def p4_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no entry, with their numbers of rows."""
+    return canonical.misses(_mapped(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line its source repeats in excess."""
     return sitelines.repeated_occurrences(_table(spark, sf_dir, "source_record"))
@@ -60,8 +74,22 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item"))
 
 
+def _public(spark: SparkSession, sf_dir: str) -> frozenset[str]:
+    return pii.public_names(_table(spark, sf_dir, "source_record").select("signature_player"), _table(spark, sf_dir, "ref_value").select("canonical_value"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of personal information."""
+    return pii.mentions(_table(spark, sf_dir, "documents"), _public(spark, sf_dir)).select("doc_id", "pii_type", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return pii.redacted(_table(spark, sf_dir, "documents"), _public(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_stripped, p7_found, p7_rebuilt, p8_found, p8_leaks)
+    f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_misses, p6_found, p6_stripped, p7_found, p7_rebuilt, p8_found, p8_leaks, p10_found, p10_redacted)
 }
 
 _STRIPPED = "length(trim({}, ' ' || chr(9) || chr(10) || chr(13))) > 1500"
