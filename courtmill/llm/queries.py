@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtmill.llm import canonical, leakage, pii, sitelines, splitting, survivorship
+from courtmill.llm import canonical, leakage, mixture, neighbours, pii, sitelines, splitting, survivorship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,16 @@ def p4_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.misses(_mapped(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of similarity 0.9 or more of which one is among the other's five nearest."""
+    return neighbours.close_pairs(_table(spark, sf_dir, "chunk_embedding"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every usable vector."""
+    return neighbours.neighbours(_table(spark, sf_dir, "chunk_embedding"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line its source repeats in excess."""
     return sitelines.repeated_occurrences(_table(spark, sf_dir, "source_record"))
@@ -74,6 +84,16 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item"))
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture's copies in shuffled order."""
+    return mixture.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_target"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached."""
+    return mixture.report(p9_mixture(spark, sf_dir), _table(spark, sf_dir, "mix_target"))
+
+
 def _public(spark: SparkSession, sf_dir: str) -> frozenset[str]:
     return pii.public_names(_table(spark, sf_dir, "source_record").select("signature_player"), _table(spark, sf_dir, "ref_value").select("canonical_value"))
 
@@ -89,7 +109,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_misses, p6_found, p6_stripped, p7_found, p7_rebuilt, p8_found, p8_leaks, p10_found, p10_redacted)
+    f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_misses, p5_found, p5_neighbours, p6_found, p6_stripped, p7_found, p7_rebuilt, p8_found, p8_leaks, p9_mixture, p9_report, p10_found, p10_redacted)
 }
 
 _STRIPPED = "length(trim({}, ' ' || chr(9) || chr(10) || chr(13))) > 1500"
