@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def named(name: str) -> Column:
     """The column called exactly ``name``, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may run on machines without it; once per application."""
+    context = spark.sparkContext
+    if _shipped.get("application") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="courtmill-")) / "courtmill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))  # the driver serves it; nothing else is read from this folder
+    _shipped["application"] = context.applicationId
+
+
+_shipped: dict[str, str] = {}
