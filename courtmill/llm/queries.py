@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtmill.llm import canonical, leakage, listings, mixture, neighbours, pii, sitelines, splitting, survivorship
+from courtmill.llm import boilerplate, canonical, leakage, listings, mixture, neighbours, pii, sitelines, splitting, survivorship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(items, ["item_kind", "item_id", "seg_no"], "item_text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each page's main body."""
+    return boilerplate.body_lines(_table(spark, sf_dir, "fetch_result")).select("page_id", "line_no")
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page reduced to its main body."""
+    return boilerplate.main_text(_table(spark, sf_dir, "fetch_result"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of listings of the same shoe."""
     return listings.matching_pairs(p3_groups(spark, sf_dir))
@@ -119,7 +129,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_misses, p5_found, p5_neighbours, p6_found, p6_stripped, p7_found, p7_rebuilt, p8_found, p8_leaks, p9_mixture, p9_report, p10_found, p10_redacted)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_text, p3_found, p3_groups, p4_found, p4_misses, p5_found, p5_neighbours, p6_found, p6_stripped, p7_found, p7_rebuilt, p8_found, p8_leaks, p9_mixture, p9_report, p10_found, p10_redacted)
 }
 
 _STRIPPED = "length(trim({}, ' ' || chr(9) || chr(10) || chr(13))) > 1500"
