@@ -1,3 +1,529 @@
-"""The registered queries of the core operators."""
+"""The registered queries of the core operators; each reads its whole tables under a scale-factor folder."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from courtmill.functions import naming, ranking, text, units, vectors, vocab
+from courtmill.operators import browse, chunks, report, resolve, search, upsert
+from courtmill.operators.browse import Filters
+from courtmill.sources import html, http, sites
+from courtmill.streaming import feedback
+from courtmill.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FILTERS = Filters(brand="veltrix", budget_max=Decimal("170.00"))
+MODEL = "hoopvec-m1"
+#: The tests' own brands, in the form of the fixed table.
+OWN_BRANDS = {
+    "Veltrix": ["veltrix", "vlx"],
+    "Kordane": ["kordane"],
+    "Norvica": ["norvica"],
+    "Haldane Court": ["haldane court", "haldane"],
+    "Port Ember": ["port ember"],
+    "Jun-Tai": ["jun-tai", "jun tai"],
+}
+#: Requests of the recommendation queries: (request_id, playstyle, aesthetic, budget).
+REQUESTS = [
+    (1, "shifty guard who defends", "", 180.0),
+    (2, "post scorer, big man", "clean white", None),
+    (3, "all-around wing", "", 120.0),
+    (4, "", "retro", 90.0),
+    (5, "  ", "", None),
+]
+SAMPLES = ["13.9 oz", "366g", "12.9 oz / 366g", "394 grams", "8 mm", "28.9mm", " 7.5 ", "$120", "129.99 USD", "$1,299", "no number", "", None]
+PHRASES = [
+    "Low-cut", "High Top", "Below ankle", "Medium", "Fits narrow feet", "True to size", "TTS", "Slightly small", "Runs large", "half a size long", "size up",
+    "Great outdoors", "ok grip", "avoid", "Outdoor", "Indoor / Outdoor", "indoor only", "PG/SG", "SF, PF", "Slasher;Shooter", "quick guard and post", "safeguard posters", "", None,
+]
+NAMES = [
+    "Nike G.T. Cut 3", "Air Jordan XXXVIII", "Way of Wade 11", "Curry 3ZER0 2 Performance Review", "D.O.N. Issue #6", "MB.01 Lo", "Why Not Zer0.4", "Adidas T-Mac Millenium",
+    "New Balance TWO WAY v2", "Kobe AD NXT 360", "Fly.By Mid 3", "Air Zoom Crossover 2", "361° Joker", "Mystery Shoe 5", "Haldane Court Forge 3", "jun-tai Comet v4", "", None,
+]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _values(spark: SparkSession, rows: list, name: str) -> DataFrame:
+    return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"n int, {name} string")
+
+
+@query
+def browse_page(spark, d):
+    rows = browse.page(table(spark, d, "shoes"), FILTERS, limit=20, offset=5)
+    return rows.select("id", "brand", "name", F.col("price").cast("double").alias("price"))
+
+
+@query
+def browse_total(spark, d):
+    return browse.total(table(spark, d, "shoes"), FILTERS)
+
+
+@query
+def browse_filters(spark, d):
+    f = Filters(outdoor="good", cut="low", width="standard", playstyle="slasher", position="guard", budget_min=Decimal("80.00"))
+    return browse.matching(table(spark, d, "shoes"), f).select("id", "brand", "name")
+
+
+@query
+def enum_filter(spark, d):
+    rows = table(spark, d, "shoes").filter((F.col("specs.cut_height") == "mid") & (F.col("specs.width_fit") == "wide"))
+    return rows.select("id", "name")
+
+
+@query
+def tag_contains(spark, d):
+    return table(spark, d, "shoes").filter(F.array_contains("specs.playstyle_tags", "shooter")).select("id")
+
+
+@query
+def json_scalar_filter(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, d, "events").filter(k == "7").select("event_id", "user_id", k.alias("k"))
+
+
+@query
+def point_lookup(spark, d):
+    return browse.by_id(table(spark, d, "shoes"), 7).select("id", "canonical_id", "name")
+
+
+@query
+def shoes_of_ids(spark, d):
+    ids = table(spark, d, "chunk_embedding").filter("model_id = 'hoopvec-s0'").select("shoe_id")
+    return browse.of_ids(table(spark, d, "shoes"), ids).select("id", "name")
+
+
+@query
+def dearest_first(spark, d):
+    rows = browse.dearest_first(table(spark, d, "shoes"), Filters(brand="kordane"))
+    return rows.select("id", F.col("price").cast("double").alias("price"))
+
+
+@query
+def catalog_summary(spark, d):
+    rows = browse.summary(table(spark, d, "shoes"))
+    return rows.select(*[c for c in rows.columns if not c.endswith("_tags")], F.array_join("position_tags", ",").alias("positions"), F.array_join("playstyle_tags", ",").alias("playstyles"))
+
+
+@query
+def catalog_detail(spark, d):
+    return browse.detail(table(spark, d, "shoes")).select("id", "name", "source_url", F.col("specs.traction_pattern").alias("traction"), F.size("extra_metadata.sources").alias("n_sources"), F.col("updated_at").cast("string").alias("updated_at"))
+
+
+@query
+def catalog_columns(spark, d):
+    rows = browse.catalog_columns(table(spark, d, "canonical_shoe"))
+    return rows.select("canonical_id", "brand", "name", F.col("price").cast("double").alias("price"), "image_url", "source_url", F.col("specs.version").alias("version"), F.size("extra_metadata.pros").alias("n_pros"))
+
+
+def _query_vector(spark: SparkSession, d: str, name: str, key: str, vector: str, where: str) -> list[float]:
+    row = table(spark, d, name).filter(where).filter(f"{vector} is not null").orderBy(key).select(vector).first()  # one row
+    return list(row[0]) if row else [1.0]
+
+
+@query
+def vector_topk(spark, d):
+    q = _query_vector(spark, d, "embeddings", "vec_id", "embedding", "vec_id >= 0")
+    rows = search.nearest(table(spark, d, "embeddings"), q, 25, "vec_id", "embedding")
+    return rows.select("vec_id", "distance", F.round(vectors.similarity(F.col("distance")), 6).alias("similarity"))
+
+
+@query
+def vector_entity_search(spark, d):
+    q = _query_vector(spark, d, "chunk_embedding", "id", "vector", f"model_id = '{MODEL}' and exists(vector, x -> x != 0)")
+    rows = search.hits(table(spark, d, "chunk_embedding"), table(spark, d, "shoes"), q, MODEL, Filters(budget_max=Decimal("200.00")))
+    return rows.select("shoe_id", "id", "source", "distance", "rn")
+
+
+@query
+def vector_candidates(spark, d):
+    q = _query_vector(spark, d, "chunk_embedding", "id", "vector", f"model_id = '{MODEL}' and exists(vector, x -> x != 0)")
+    catalog = table(spark, d, "shoes")
+    rows = search.candidates(search.hits(table(spark, d, "chunk_embedding"), catalog, q, MODEL, Filters(budget_max=Decimal("200.00"))), catalog)
+    return rows.select("shoe_id", "brand", "name", "distance", F.round("similarity", 6).alias("similarity"), F.size("snippets").alias("n_snippets"), F.get("snippets", F.lit(0))["source"].alias("first_source"))
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REQUESTS, "request_id bigint, playstyle string, aesthetic string, budget double")
+
+
+@query
+def fallback_rank(spark, d):
+    return search.by_tags(_requests(spark), table(spark, d, "shoes"))
+
+
+@query
+def request_validation(spark, d):
+    return search.valid_requests(_requests(spark)).select("request_id")
+
+
+@query
+def request_seed(spark, d):
+    rows = _requests(spark)
+    return rows.select("request_id", ranking.request_seed(playstyle=F.col("playstyle"), aesthetic=F.col("aesthetic")).alias("seed"))
+
+
+@query
+def topn_tie_groups(spark, d):
+    ranked = search.by_tags(_requests(spark), table(spark, d, "shoes"), 20).withColumn("rank_key", ranking.primary_key(F.lit(None).cast("double"), F.col("overlap")))
+    return search.tie_groups(ranked).select("request_id", "shoe_id", "rank_key", "tie_group", "group_size", "before")
+
+
+@query
+def topn_seeded_sample(spark, d):
+    ranked = search.by_tags(_requests(spark), table(spark, d, "shoes")).withColumn("rank_key", ranking.primary_key(F.lit(None).cast("double"), F.col("overlap")))
+    seeds = _requests(spark).select("request_id", ranking.request_seed(playstyle=F.col("playstyle"), aesthetic=F.col("aesthetic")).alias("seed"))
+    return search.choose(ranked.join(seeds, "request_id"))
+
+
+@query
+def recommendations(spark, d):
+    return search.recommend(_requests(spark), table(spark, d, "shoes")).withColumn("specs", F.array_join("specs", "; ")).withColumn("price", F.col("price").cast("double"))
+
+
+@query
+def template_card(spark, d):
+    shoes = table(spark, d, "shoes")
+    why = text.explanation(F.col("brand"), F.col("name"), "specs", F.lit("slasher"), F.get("extra_metadata.pros", F.lit(0))["text"], F.get("extra_metadata.pros", F.lit(0))["source"])
+    return shoes.select("id", F.array_join(text.spec_chips("specs"), "; ").alias("chips"), why.alias("explanation"))
+
+
+@query
+def query_text(spark, d):
+    return _requests(spark).select("request_id", text.query_text(F.col("playstyle"), F.col("aesthetic")).alias("query_text"))
+
+
+@query
+def prompt_blocks(spark, d):
+    notes = F.transform(F.coalesce("extra_metadata.pros", F.array().cast("array<struct<source:string,text:string>>")), lambda p: F.struct(p["text"].alias("text"), p["source"].alias("source")))
+    block = text.prompt_block(F.lit(1), F.col("brand"), F.col("name"), F.col("price"), F.struct("specs.cut_height"), F.lit(None).cast("double"), notes)
+    return table(spark, d, "shoes").select("id", block.alias("block"))
+
+
+@query
+def unit_parse(spark, d):
+    t = F.col("t")
+    w = units.weight(t)
+    return _values(spark, SAMPLES, "t").select("n", w["oz"].alias("oz"), w["g"].alias("g"), units.millimetres(t).alias("mm"), units.usd_cents(t).alias("cents"), units.budget(t).alias("budget"))
+
+
+@query
+def weights_of_records(spark, d):
+    said = F.concat(F.col("weight_oz").cast("string"), F.lit(" oz"))
+    return table(spark, d, "source_record").select("ord", units.weight(said)["g"].alias("g"), units.price_of_cents(F.col("msrp_usd_cents")).cast("double").alias("price"))
+
+
+@query
+def enum_map(spark, d):
+    t = F.col("t")
+    return _values(spark, PHRASES, "t").select("n", vocab.cut_height(t).alias("cut"), vocab.width_fit(t).alias("width"), vocab.length_fit(t).alias("length"), vocab.outdoor(t).alias("outdoor"), vocab.surface(t).alias("surface"))
+
+
+@query
+def tag_map(spark, d):
+    t = F.col("t")
+    join = lambda c: F.array_join(c, ",")
+    return _values(spark, PHRASES, "t").select("n", join(vocab.positions(t)).alias("positions"), join(vocab.playstyles(t)).alias("playstyles"))
+
+
+@query
+def tags_in_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(vocab.tags_in(F.col("text")), ",").alias("tags"))
+
+
+@query
+def score_thresholds(spark, d):
+    score = F.explode(F.map_entries("scores")).alias("s")
+    rows = table(spark, d, "source_record").select("ord", score).select("ord", "s.key", "s.value")
+    number = F.regexp_replace("value", "%", "").try_cast("double")
+    return rows.select("ord", "key", vocab.outdoor_of_score(number).alias("by_score"), vocab.outdoor_of_percent(F.when(F.col("value").endswith("%"), number)).alias("by_percent"))
+
+
+@query
+def brand_split(spark, d):
+    parts = naming.split_brand(F.col("model_raw"), OWN_BRANDS)
+    return table(spark, d, "source_record").select("ord", parts["brand"].alias("brand"), parts["model"].alias("model"))
+
+
+@query
+def brand_normalized(spark, d):
+    return table(spark, d, "source_record").select("ord", naming.brand(F.col("brand"), OWN_BRANDS).alias("brand"))
+
+
+@query
+def model_key(spark, d):
+    parts = naming.split_brand(F.col("t"))
+    return _values(spark, NAMES, "t").select("n", naming.model_key(parts["brand"], parts["model"]).alias("model_key"), naming.version(F.col("t")).alias("version"), F.array_join(naming.numeric_signature(naming.model_key(F.lit(None).cast("string"), F.col("t"))), " ").alias("signature"), naming.slug(parts["brand"], parts["model"]).alias("slug"))
+
+
+@query
+def version_signature(spark, d):
+    rows = resolve.keyed(table(spark, d, "source_record"), OWN_BRANDS)
+    return rows.select("ord", "model_key", naming.version(F.col("model")).alias("version"), F.array_join(naming.numeric_signature(F.col("model_key")), " ").alias("signature"))
+
+
+@query
+def boilerplate_strip(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.without_advertising(F.col("text")).alias("text"))
+
+
+@query
+def text_shorten(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.shortened(F.col("text"), 180).alias("short"))
+
+
+def _ready(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "source_record")
+    return resolve.prioritised(resolve.keyed(records, OWN_BRANDS), table(spark, d, "source_registry"))
+
+
+@query
+def union_sources(spark, d):
+    both = resolve.union_sources(table(spark, d, "source_record"), table(spark, d, "listing_record"))
+    return both.select("source", "ord", "model_raw", "brand", "weight_oz", "review_text").select("source", "ord", "model_raw", "brand", "weight_oz", F.size("review_text").alias("n_segments"))
+
+
+@query
+def unmatched_records(spark, d):
+    return resolve.unmatched(resolve.keyed(table(spark, d, "source_record"), OWN_BRANDS))
+
+
+@query
+def entity_merge(spark, d):
+    rows = resolve.with_identity(resolve.merged(_ready(spark, d), ("release_year", "msrp_usd_cents", "weight_oz", "cut_height")))
+    made = F.col("provenance")
+    return rows.select("brand", "model_key", "canonical_id", "n_records", "n_sources", "release_year", "msrp_usd_cents", "weight_oz", "cut_height", F.try_element_at(made, F.lit("msrp_usd_cents"))["source"].alias("price_source"), F.try_element_at(made, F.lit("weight_oz"))["url"].alias("weight_url"))
+
+
+@query
+def entity_lists(spark, d):
+    rows = resolve.gathered(_ready(spark, d))
+    noted = lambda c: F.array_join(F.transform(c, lambda n: F.concat(F.coalesce(n["source"], F.lit("")), F.lit(":"), n["text"])), "|")
+    return rows.select("brand", "model_key", F.size("sources").alias("n"), noted("pros").alias("pros"), F.array_join("position_tags", ",").alias("positions"), F.size("image_urls").alias("n_images"), F.size("review_text").alias("n_reviews"))
+
+
+@query
+def entity_metrics(spark, d):
+    rows = resolve.metrics(_ready(spark, d)).select("brand", "model_key", F.explode("metrics").alias("source", "scores"))
+    return rows.select("brand", "model_key", "source", F.map_from_entries(F.map_entries(F.from_json("scores", "map<string,string>"))).alias("m")).select("brand", "model_key", "source", F.size("m").alias("n_scores"))
+
+
+@query
+def canonical_shoes(spark, d):
+    rows = resolve.canonical(table(spark, d, "source_record"), table(spark, d, "source_registry"), OWN_BRANDS)
+    return rows.select("canonical_id", "brand", "model_key", "version", "n_records", F.size("metrics").alias("n_metrics"), F.size("provenance").alias("n_provenance"))
+
+
+@query
+def near_miss_block(spark, d):
+    return resolve.near_blocks(resolve.key_order(_ready(spark, d))).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query
+def near_miss_ratio(spark, d):
+    pairs = resolve.ambiguous(resolve.key_order(_ready(spark, d)))
+    return pairs.select("brand", "a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query
+def near_miss_evidence(spark, d):
+    ready = _ready(spark, d)
+    return resolve.evidence(resolve.ambiguous(resolve.key_order(ready)), ready).select("brand", "a", "b", "which", "ord", "source")
+
+
+@query
+def seed_follow(spark, d):
+    keyed = resolve.keyed(table(spark, d, "source_record"), OWN_BRANDS)
+    seeds = keyed.filter("source = 'rimvale'")
+    return resolve.follow_seeds(keyed.filter("source = 'tractvale'"), seeds).select("ord", "model_key")
+
+
+@query
+def records_by_source(spark, d):
+    return report.records_by_source(table(spark, d, "source_record"))
+
+
+@query
+def source_histogram(spark, d):
+    return report.source_histogram(table(spark, d, "canonical_shoe"))
+
+
+@query
+def multi_source(spark, d):
+    return report.multi_source(table(spark, d, "canonical_shoe"))
+
+
+@query
+def coverage_report(spark, d):
+    return report.fill_rates(table(spark, d, "canonical_shoe"))
+
+
+@query
+def report_counts(spark, d):
+    keyed = resolve.keyed(table(spark, d, "source_record"), OWN_BRANDS)
+    return report.counts(records=keyed, unmatched=resolve.unmatched(keyed), canonical=table(spark, d, "canonical_shoe"))
+
+
+@query
+def pilot_shoes(spark, d):
+    return report.pilot(table(spark, d, "canonical_shoe")).select("canonical_id", "n_sources", "filled")
+
+
+def _upsert(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "shoes"), browse.catalog_columns(table(spark, d, "canonical_shoe"))
+
+
+@query
+def upsert_actions(spark, d):
+    return upsert.actions(*_upsert(spark, d), values=("brand", "name", "price"))
+
+
+@query
+def upsert_counters(spark, d):
+    return upsert.counters(upsert.actions(*_upsert(spark, d), values=("brand", "name", "price")))
+
+
+@query
+def upsert_snapshot(spark, d):
+    old, batch = _upsert(spark, d)
+    rows = upsert.applied(old, batch, F.lit("2027-01-01 00:00:00").cast("timestamp_ntz"), values=("brand", "name", "price"))
+    return rows.agg(F.count(F.lit(1)).alias("shoes"), F.countDistinct("id").alias("ids"), F.max("id").alias("top_id"), F.count_if(F.col("updated_at") == F.lit("2027-01-01 00:00:00").cast("timestamp_ntz")).alias("changed"))
+
+
+@query
+def orphan_cleanup(spark, d):
+    few = table(spark, d, "shoes").filter(F.col("canonical_id").isNotNull())
+    return upsert.without_orphans(table(spark, d, "chunk_embedding"), few).select("id", "shoe_id")
+
+
+@query
+def spec_summary(spark, d):
+    return chunks.summaries(table(spark, d, "shoes")).select("shoe_id", "content")
+
+
+@query
+def chunk_build(spark, d):
+    return chunks.built(table(spark, d, "shoes")).select("shoe_id", "content", "source")
+
+
+@query
+def chunk_opinions(spark, d):
+    return chunks.opinions(table(spark, d, "shoes")).select("shoe_id", "content", "source")
+
+
+@query
+def chunk_split(spark, d):
+    pieces = F.posexplode(text.split(F.col("text"))).alias("part", "piece")
+    return table(spark, d, "documents").select("doc_id", pieces)
+
+
+@query
+def chunk_windows(spark, d):
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(text.CHUNK_CHARS))).alias("at")
+    return table(spark, d, "documents").filter("length(text) > 0").select("doc_id", "text", at).select("doc_id", "at", F.substring(F.col("text"), F.col("at") + 1, F.lit(text.CHUNK_CHARS)).alias("piece"))
+
+
+def _synced(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "chunk").select("shoe_id", "content", "source")
+    return chunks.sync(table(spark, d, "chunk_embedding"), wanted, MODEL)
+
+
+@query
+def chunk_sync(spark, d):
+    return _synced(spark, d).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def chunk_sync_rows(spark, d):
+    return _synced(spark, d).filter("action != 'embed'").select("id", "action")
+
+
+@query
+def chunk_sync_counters(spark, d):
+    return chunks.counters(_synced(spark, d))
+
+
+@query
+def doc_dedup(spark, d):
+    return table(spark, d, "documents").groupBy("source", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return html.extracted(table(spark, d, "fetch_result").filter("status = 200"))
+
+
+@query
+def html_titles(spark, d):
+    return _pages(spark, d).select("page_id", F.col("page.title").alias("title"), F.col("page.h1").alias("h1"))
+
+
+@query
+def html_links(spark, d):
+    pages = _pages(spark, d)
+    return sites.anchor_links(pages.filter("page is not null"), r"^/[a-z0-9-]+/$").groupBy("source", "url").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def html_spec_records(spark, d):
+    rows = sites.spec_table(_pages(spark, d).filter("page is not null"))
+    return rows.select("source", "url", "model_raw", "weight_oz", "drop_mm", "cut_height")
+
+
+@query
+def html_headings(spark, d):
+    rows = _pages(spark, d).select("page_id", F.posexplode("page.headings").alias("pos", "h"))
+    return rows.select("page_id", "pos", F.col("h.level").alias("level"), F.col("h.text").alias("heading"), F.size("h.body").alias("paragraphs"))
+
+
+@query
+def page_cache(spark, d):
+    pages = table(spark, d, "fetch_result")
+    refs = pages.select("source", "url").distinct()
+    return http.cached(refs, pages).select("source", "url", "key", "fetched_at", "from_cache")
+
+
+@query
+def url_parts(spark, d):
+    u = F.col("url")
+    return table(spark, d, "fetch_result").select("page_id", http.host(u).alias("host"), http.cache_key(u).alias("key"), http.absolute(u, F.lit("/brands/")).alias("brands_url"), http.worth_retrying(F.col("status")).alias("retry"))
+
+
+@query
+def first_seen_urls(spark, d):
+    refs = table(spark, d, "source_record").select("ord", "source", "url", "model_raw")
+    return http.first_seen(refs)
+
+
+@query
+def robots_allowed(spark, d):
+    refs = table(spark, d, "source_record").select("ord", "url")
+    rules = table(spark, d, "source_registry").select(http.host(F.col("base_url")).alias("host"), F.when(F.col("trust_rank") % 4 == 0, 403).when(F.col("trust_rank") % 4 == 1, 404).otherwise(200).alias("status"), F.lit("User-agent: *\nDisallow: /private/").alias("body"))
+    return http.allowed(refs, rules).select("ord")
+
+
+@query
+def review_titles(spark, d):
+    return table(spark, d, "source_record").select("ord", naming.review_title(F.concat("model_raw", F.lit(" Performance Review"))).alias("title"), naming.key_slug(F.col("model_raw")).alias("slug"))
+
+
+@query
+def price_labels(spark, d):
+    return table(spark, d, "shoes").select("id", units.price_label(F.col("price")).alias("label"))
+
+
+@query
+def feedback_last_vote(spark, d):
+    return feedback.last_votes(table(spark, d, "events"))
+
+
+@query
+def feedback_windows(spark, d):
+    rows = feedback.windows(table(spark, d, "events"))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
