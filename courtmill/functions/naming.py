@@ -43,25 +43,26 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def _aliases(brands: dict[str, list[str]]) -> Column:
+    """A constant array of (alias, word, brand), longest alias first; one value, however many brands."""
+    return F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(a.strip()).alias("word"), F.lit(b).alias("brand")) for a, b in _by_length(brands)])
+
+
 def brand(text: Column, brands: dict[str, list[str]] = BRANDS) -> Column:
     """The brand whose longest alias the text is or starts with; null if none."""
     low = F.lower(_stripped(text))
-    out = F.lit(None).cast("string")
-    for alias, name in reversed(_by_length(brands)):
-        out = F.when((low == alias.strip()) | low.startswith(alias), F.lit(name)).otherwise(out)
-    return out
+    return F.get(F.filter(_aliases(brands), lambda a: (low == a["word"]) | low.startswith(a["alias"])), F.lit(0))["brand"]
 
 
 def split_brand(name: Column, brands: dict[str, list[str]] = BRANDS) -> Column:
     """struct<brand, model> of a display name; without a known brand the model is the whole name."""
-    whole = _stripped(name)
-    low = F.lower(whole)
-    out = F.struct(F.lit(None).cast("string").alias("brand"), whole.alias("model"))
-    for alias, title in reversed(_by_length(brands)):
-        word = alias.strip()
-        rest = whole if word in KEPT_LINES else _stripped(F.substring(whole, len(word) + 1, 2**31 - 1))
-        out = F.when(low.startswith(word + " "), F.struct(F.lit(title).alias("brand"), rest.alias("model"))).otherwise(out)
-    return out
+    whole = F.struct(_stripped(name).alias("name"))
+    first = F.transform(
+        F.array(whole),
+        lambda w: F.struct(w["name"].alias("name"), F.get(F.filter(_aliases(brands), lambda a: F.lower(w["name"]).startswith(F.concat(a["word"], F.lit(" ")))), F.lit(0)).alias("hit")),
+    )
+    cut = lambda x: F.when(x["hit"].isNull() | x["hit"]["word"].isin(*KEPT_LINES), x["name"]).otherwise(_stripped(F.substring(x["name"], F.length(x["hit"]["word"]) + 1, F.length(x["name"]))))
+    return F.get(F.transform(first, lambda x: F.struct(x["hit"]["brand"].alias("brand"), cut(x).alias("model"))), F.lit(0))
 
 
 def model_key(brand_name: Column, model: Column, brands: dict[str, list[str]] = BRANDS) -> Column:

@@ -109,6 +109,7 @@ def dearest_first(spark, d):
 @query
 def catalog_summary(spark, d):
     rows = browse.summary(table(spark, d, "shoes"))
+    rows = rows.withColumn("release_year", F.col("release_year").cast("double"))
     return rows.select(*[c for c in rows.columns if not c.endswith("_tags")], F.array_join("position_tags", ",").alias("positions"), F.array_join("playstyle_tags", ",").alias("playstyles"))
 
 
@@ -132,14 +133,14 @@ def _query_vector(spark: SparkSession, d: str, name: str, key: str, vector: str,
 def vector_topk(spark, d):
     q = _query_vector(spark, d, "embeddings", "vec_id", "embedding", "vec_id >= 0")
     rows = search.nearest(table(spark, d, "embeddings"), q, 25, "vec_id", "embedding")
-    return rows.select("vec_id", "distance", F.round(vectors.similarity(F.col("distance")), 6).alias("similarity"))
+    return rows.select("vec_id", (F.col("distance") + 0.0).alias("distance"), F.round(vectors.similarity(F.col("distance")), 6).alias("similarity"))
 
 
 @query
 def vector_entity_search(spark, d):
     q = _query_vector(spark, d, "chunk_embedding", "id", "vector", f"model_id = '{MODEL}' and exists(vector, x -> x != 0)")
     rows = search.hits(table(spark, d, "chunk_embedding"), table(spark, d, "shoes"), q, MODEL, Filters(budget_max=Decimal("200.00")))
-    return rows.select("shoe_id", "id", "source", "distance", "rn")
+    return rows.select("shoe_id", "id", "source", (F.col("distance") + 0.0).alias("distance"), "rn")
 
 
 @query
@@ -147,7 +148,7 @@ def vector_candidates(spark, d):
     q = _query_vector(spark, d, "chunk_embedding", "id", "vector", f"model_id = '{MODEL}' and exists(vector, x -> x != 0)")
     catalog = table(spark, d, "shoes")
     rows = search.candidates(search.hits(table(spark, d, "chunk_embedding"), catalog, q, MODEL, Filters(budget_max=Decimal("200.00"))), catalog)
-    return rows.select("shoe_id", "brand", "name", "distance", F.round("similarity", 6).alias("similarity"), F.size("snippets").alias("n_snippets"), F.get("snippets", F.lit(0))["source"].alias("first_source"))
+    return rows.select("shoe_id", "brand", "name", (F.col("distance") + 0.0).alias("distance"), F.round("similarity", 6).alias("similarity"), F.size("snippets").alias("n_snippets"), F.get("snippets", F.lit(0))["source"].alias("first_source"))
 
 
 def _requests(spark: SparkSession) -> DataFrame:
@@ -211,7 +212,7 @@ def prompt_blocks(spark, d):
 def unit_parse(spark, d):
     t = F.col("t")
     w = units.weight(t)
-    return _values(spark, SAMPLES, "t").select("n", w["oz"].alias("oz"), w["g"].alias("g"), units.millimetres(t).alias("mm"), units.usd_cents(t).alias("cents"), units.budget(t).alias("budget"))
+    return _values(spark, SAMPLES, "t").select("n", w["oz"].alias("oz"), w["g"].alias("g"), units.millimetres(t).alias("mm"), units.usd_cents(t).cast("double").alias("cents"), units.budget(t).alias("budget"))
 
 
 @query
@@ -287,7 +288,7 @@ def _ready(spark: SparkSession, d: str) -> DataFrame:
 @query
 def union_sources(spark, d):
     both = resolve.union_sources(table(spark, d, "source_record"), table(spark, d, "listing_record"))
-    return both.select("source", "ord", "model_raw", "brand", "weight_oz", "review_text").select("source", "ord", "model_raw", "brand", "weight_oz", F.size("review_text").alias("n_segments"))
+    return both.select("source", "ord", "model_raw", "brand", "weight_oz", "review_text").select("source", "ord", "model_raw", "brand", "weight_oz", F.size("review_text").cast("double").alias("n_segments"))
 
 
 @query
@@ -299,7 +300,7 @@ def unmatched_records(spark, d):
 def entity_merge(spark, d):
     rows = resolve.with_identity(resolve.merged(_ready(spark, d), ("release_year", "msrp_usd_cents", "weight_oz", "cut_height")))
     made = F.col("provenance")
-    return rows.select("brand", "model_key", "canonical_id", "n_records", "n_sources", "release_year", "msrp_usd_cents", "weight_oz", "cut_height", F.try_element_at(made, F.lit("msrp_usd_cents"))["source"].alias("price_source"), F.try_element_at(made, F.lit("weight_oz"))["url"].alias("weight_url"))
+    return rows.select("brand", "model_key", "canonical_id", "n_records", "n_sources", F.col("release_year").cast("double").alias("release_year"), F.col("msrp_usd_cents").cast("double").alias("msrp_usd_cents"), "weight_oz", "cut_height", F.try_element_at(made, F.lit("msrp_usd_cents"))["source"].alias("price_source"), F.try_element_at(made, F.lit("weight_oz"))["url"].alias("weight_url"))
 
 
 @query
@@ -382,7 +383,7 @@ def _upsert(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def upsert_actions(spark, d):
-    return upsert.actions(*_upsert(spark, d), values=("brand", "name", "price"))
+    return upsert.actions(*_upsert(spark, d), values=("brand", "name", "price")).withColumn("id", F.col("id").cast("double"))
 
 
 @query
