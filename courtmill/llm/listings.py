@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtmill.llm.canonical import deletes, distance, folded
+from courtmill.session import checkpoint
 
 
 MOST_HEADS = 50_000
 HEAD_PARTNERS = 3
 COHESION = 0.5
 EDITS = 2
+#: Share of a line's titles that a misspelling within one edit, and one within two, may have at most.
+RARER, RARE = 0.1, 0.02
 SALT_ROWS = 512
 #: Words of the field that are never part of a model line.
 CUTS = {"low": "low", "lo": "low", "mid": "mid", "high": "high", "hi": "high"}
@@ -242,18 +245,19 @@ def merged_lines(clusters: DataFrame) -> DataFrame:
         return sorted(deletes(line, EDITS)) if len(line) <= 60 else [line]
 
     @F.udf("boolean")
-    def alike(a: str, b: str, brand_a: str, brand_b: str, titles: int) -> bool:
+    def alike(a: str, b: str, brand_a: str, brand_b: str, few: int, many: int) -> bool:
         if brand_a and brand_b and brand_a != brand_b and distance(brand_a, brand_b, 2.0) > 2.0:
             return False
-        return distance(a, b, 2.0) <= (2.0 if brand_a and brand_b and titles > 1 else 1.0)
+        sure = brand_a and brand_b and many > 1 and few <= max(2, RARE * many)
+        return distance(a, b, 2.0) <= (2.0 if sure else 1.0)
 
     each = clusters.select("line", "titles", "brand", F.explode(keys("line")).alias("key"))
     rare = each.select("key", *[F.col(c).alias(f"a_{c}") for c in ("line", "titles", "brand")])
     often = each.select("key", *[F.col(c).alias(f"b_{c}") for c in ("line", "titles", "brand")])
-    much_rarer = F.col("a_titles") <= F.greatest(F.lit(2), F.col("b_titles") * 0.02)
+    much_rarer = F.col("a_titles") <= F.greatest(F.lit(2), F.col("b_titles") * RARER)
     ordered = (F.col("a_titles") < F.col("b_titles")) | ((F.col("a_titles") == F.col("b_titles")) & (F.col("a_line") > F.col("b_line")))
     pairs = rare.join(often, "key").filter((F.col("a_line") != F.col("b_line")) & much_rarer & ordered).drop("key").distinct()
-    good = pairs.filter(alike("a_line", "b_line", "a_brand", "b_brand", "b_titles"))
+    good = pairs.filter(alike("a_line", "b_line", "a_brand", "b_brand", "a_titles", "b_titles"))
     once = good.groupBy(F.col("a_line").alias("line")).agg(F.max_by("b_line", F.struct("b_titles", "b_line")).alias("into"))
     twice = once.select(F.col("line").alias("into"), F.col("into").alias("further"))
     return once.join(twice, "into", "left").select("line", F.coalesce("further", "into").alias("into"))
@@ -261,17 +265,17 @@ def merged_lines(clusters: DataFrame) -> DataFrame:
 
 def groups(listings: DataFrame) -> DataFrame:
     """(ord, group_id): listings of one shoe have the same id; accessories have ids of their own rows."""
-    pairs = scored(combinations(listings))
+    pairs = checkpoint(scored(combinations(listings)).filter(F.col("gap") < 1.5))  # adjacent words only; read three times
     rows = parsed(listings, heads(pairs), brand_words(listings))
-    score = pairs.filter((F.col("gap") < 1.5)).select(F.col("first").alias("word"), F.col("second").alias("head"), "score")
+    score = pairs.select(F.col("first").alias("word"), F.col("second").alias("head"), "score")
     ranked = rows.join(score, ["word", "head"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     fields = ("word", "head", "version", "cut", "youth", "brand", "accessory", "name")
     best = ranked.groupBy("ord").agg(F.max_by(F.struct(*fields), F.struct("score", F.length("word"), "word", "head")).alias("b")).select("ord", "b.*")
-    best = best.withColumn("line", F.concat("word", "head"))
+    best = checkpoint(best.withColumn("line", F.concat("word", "head")))  # one short row a title; read five times
     shoes = best.filter(~F.col("accessory") & (F.col("line") != ""))
     votes = shoes.groupBy("line", "brand").agg(F.count(F.lit(1)).alias("n"))
     clusters = votes.groupBy("line").agg(F.sum("n").alias("titles"), F.max_by("brand", F.struct(F.when(F.col("brand") != "", F.col("n")).otherwise(0), "brand")).alias("brand"))
-    moved = merged_lines(clusters)
+    moved = checkpoint(merged_lines(clusters))  # misspelt lines only; read twice
     home = F.coalesce(F.col("into"), F.col("line"))
     # Parted brands: another brand's name in a line counts only with two titles and more than two edits.
     placed = votes.join(moved, "line", "left").select(home.alias("home"), "brand", "n").groupBy("home", "brand").agg(F.sum("n").alias("n"))
