@@ -89,8 +89,9 @@ _WORD = rf"(?:[^\W\d_]+(?:(?:{_APOS}|{_HYPHEN})[^\W\d_]+)*)"
 _INITIAL = r"(?:[^\W\d_]\.)"
 _LAST_FIRST = rf"{_WORD},\s{_WORD}(?:\s(?:{_INITIAL}|{_WORD}))?"
 _FULL = rf"{_WORD}(?:\s(?:{_INITIAL}|{_WORD}))?\s{_WORD}"
-_ANY = rf"(?P<m>{_LAST_FIRST}|{_FULL}|{_WORD}\s{_INITIAL}|{_WORD})"
-_TITLE = r"(?:(?:Mrs|Mr|Ms|Miss|Dr|Prof|Sra|Srta|Sr|Herr|Herrn|Frau|Mme|Mlle|M|Don|Doña|Coach)\b\.?\s+)*"
+_TITLES = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Sra|Srta|Sr|Herr|Herrn|Frau|Mme|Mlle|M|Don|Doña|Coach)"
+_TITLE = rf"(?:{_TITLES}\b\.?\s+)*"
+_ANY = rf"(?!{_TITLES}\b)(?P<m>{_LAST_FIRST}|{_FULL}|{_WORD}\s{_INITIAL}|{_WORD})"
 #: Cues before a name, with what must follow it; fixed phrases of four languages.
 _BEFORE = {
     "my name is": rf"\s+{_TITLE}{_ANY}(?=\s+and\b|[.,;!])",
