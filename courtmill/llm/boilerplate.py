@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtmill.session import small
+from courtmill.session import checkpoint, small
 
 REACH = 12
 SHARE = 0.02
@@ -265,7 +265,7 @@ def subheads(pages: DataFrame) -> DataFrame:
             for text, url, runs in zip(batch["text"], batch["url"], batch["runs"], strict=True):
                 kinds, shown = _kinds(text, url, np.asarray([] if runs is None else runs, dtype=np.int64))
                 rest = [i for i, k in enumerate(kinds) if k != "blank"]
-                for i, after in zip(rest, [*rest[1:], None], strict=True):
+                for i, after in zip(rest, [*rest[1:], None], strict=False):
                     if kinds[i] in ("repeated", "before") and (line := _short(shown[i][0])):
                         c = seen.setdefault(line, [0, 0])
                         c[0] += 1
@@ -295,7 +295,7 @@ MOST_SUBHEADS = 50_000
 def body_lines(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, line): the lines of each page's main body; numbers start at 0, tags are taken out."""
     good = good_pages(pages)
-    runs = repeated_runs(good)
+    runs = checkpoint(repeated_runs(good))  # read by three passes; far smaller than the pages
     with_runs = good.join(small(runs, 10_000), "source", "left")
     found = subheads(with_runs).orderBy("line").limit(MOST_SUBHEADS + 1).collect()  # at most MOST_SUBHEADS + 1 rows
     if len(found) > MOST_SUBHEADS:
