@@ -41,6 +41,7 @@ EDITS = 2
 #: Share of a line's titles that a misspelling within one edit, and one within two, may have at most.
 RARER, RARE = 0.1, 0.02
 SALT_ROWS = 512
+CACHED_WORDS = 500_000
 #: Words of the field that are never part of a model line.
 CUTS = {"low": "low", "lo": "low", "mid": "mid", "high": "high", "hi": "high"}
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
@@ -147,9 +148,18 @@ class Parser:
                 for key in deletes(head, 1):
                     self.near[key].add(head)
         self.ends = tuple(sorted(known, key=lambda h: -len(h)))
+        self.known_heads: dict[str, str | None] = {}
+        self.known_firsts: dict[str, bool] = {}
 
     def head_of(self, word: str) -> str | None:
         """The head a word spells, one edit allowed."""
+        if word not in self.known_heads:
+            if len(self.known_heads) > CACHED_WORDS:
+                self.known_heads.clear()
+            self.known_heads[word] = self._head_of(word)
+        return self.known_heads[word]
+
+    def _head_of(self, word: str) -> str | None:
         if word in self.heads:
             return word
         if len(word) < 3 or word in PLAIN:
@@ -161,14 +171,21 @@ class Parser:
 
     def names_line(self, word: str) -> bool:
         """Whether a word may be the first of a model line: no brand or misspelt brand, no common word."""
+        if word not in self.known_firsts:
+            if len(self.known_firsts) > CACHED_WORDS:
+                self.known_firsts.clear()
+            self.known_firsts[word] = self._names_line(word)
+        return self.known_firsts[word]
+
+    def _names_line(self, word: str) -> bool:
         if len(word) < 4 or not word.isalpha() or word in PLAIN or word in self.brands or word in self.heads:
             return False
         return not any(k in self.near_brands for k in deletes(word, 1)) or all(distance(word, b, 1.0) > 1.0 for b in self.brands)
 
-    def lines(self, title: str) -> list[tuple[str, str, str]]:
-        """Candidate (word, head, what follows) of a title, exact heads first."""
+    def lines(self, parts: list[str]) -> list[tuple[str, str, str]]:
+        """Candidate (word, head, what follows) of a title's segments, exact heads first."""
         exact, loose = [], []
-        for segment in segments(title):
+        for segment in parts:
             spans = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(segment)]
             for i, (word, _, end) in enumerate(spans):
                 if word in PLAIN or word.isdigit():
@@ -179,7 +196,7 @@ class Parser:
                     exact.append((before, word, segment[end:]))
                 elif fits and word not in self.heads and word not in self.brands and (head := self.head_of(word)):
                     loose.append((before, head, segment[end:]))
-                fused = next((h for h in self.ends if word.endswith(h) and len(word) - len(h) >= 5), None) if word not in self.heads else None
+                fused = next((h for h in self.ends if word.endswith(h) and len(word) - len(h) >= 5), None) if word.endswith(self.ends) and word not in self.heads else None
                 if fused:
                     loose.append((word[: -len(fused)], fused, segment[end:]))
         return exact or loose
@@ -193,14 +210,14 @@ class Parser:
         return int(digits) if digits else ROMAN[m.group(4)]
 
     @staticmethod
-    def cut(title: str) -> str:
-        text = " ".join(segments(title))
+    def cut(parts: list[str]) -> str:
+        text = " ".join(parts)
         m = re.search(r"\b(low|lo|mid|high|hi)[\s-]*(?:top|cut)\b", text) or re.search(r"\b(low|lo|mid|high|hi)\b", text)
         return CUTS[m.group(1)] if m else ""
 
     @staticmethod
-    def youth(title: str) -> bool:
-        return bool(_YOUTH.search(re.sub(r"[^\w]+", " ", " ".join(segments(title)))))
+    def youth(parts: list[str]) -> bool:
+        return bool(_YOUTH.search(re.sub(r"[^\w]+", " ", " ".join(parts))))
 
     @staticmethod
     def accessory(title: str) -> bool:
@@ -223,9 +240,10 @@ def parsed(listings: DataFrame, known: list[str], brands: list[str] = ()) -> Dat
         for batch in batches:
             rows = []
             for key, title, brand in zip(batch["ord"], batch["model_raw"], batch["brand"], strict=True):
-                common = (p.cut(title), p.youth(title), brand_key(brand if isinstance(brand, str) else None))
-                name = " ".join(sorted({w for s in segments(title)[:1] for w in _WORD.findall(s)}))
-                lines = p.lines(title) or [("", "", "")]
+                parts = segments(title)
+                common = (p.cut(parts), p.youth(parts), brand_key(brand if isinstance(brand, str) else None))
+                name = " ".join(sorted({w for s in parts[:1] for w in _WORD.findall(s)}))
+                lines = p.lines(parts) or [("", "", "")]
                 for word, head, rest in lines:
                     rows.append((key, word, head, p.version(rest), *common, p.accessory(title), name))
             yield pd.DataFrame(rows, columns=["ord", "word", "head", "version", "cut", "youth", "brand", "accessory", "name"]).astype({"version": "int32"})
