@@ -26,10 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtmill.session import checkpoint
+
 #: A public byte-level BPE vocabulary in the format of the tokenizers library.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 HEADROOM = 0.8
 MOST_SOURCES = 100_000
+ENCODED_AT_ONCE = 64
 SEED = 20_240
 
 
@@ -50,8 +53,10 @@ def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            encoded = _tokenizer(tokenizer).encode_batch_fast(batch["text"].tolist(), add_special_tokens=False)
-            batch["n_tokens"] = pd.Series([len(e) for e in encoded], index=batch.index, dtype="int64")
+            texts, counts = batch["text"].tolist(), []
+            for i in range(0, len(texts), ENCODED_AT_ONCE):
+                counts += [len(e) for e in _tokenizer(tokenizer).encode_batch_fast(texts[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
+            batch["n_tokens"] = pd.Series(counts, index=batch.index, dtype="int64")
             yield batch
 
     rows = documents.filter(F.btrim("text", F.lit(" \t\r\n")) != "").select(F.col("doc_id").cast("long"), "source", "text")
@@ -86,15 +91,15 @@ def poisson_rate(mean: float, cap: int) -> float:
     return (low + high) / 2
 
 
-def plan(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = TOKENIZER) -> list[dict]:
-    """For each target source its tokens, mean rate and the cumulative probabilities of its copies.
+def plan(stock: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> list[dict]:
+    """From ``distinct_documents``: for each target source its tokens, mean rate and the cumulative probabilities of its copies.
 
     One row per source of the target table, which is checked to be small.
     """
     goal = targets.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("cap"))
     if goal.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         raise ValueError("more target sources than may be planned on the driver")
-    stock = distinct_documents(documents, tokenizer).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    stock = stock.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     rows = [r.asDict() for r in goal.join(stock, "source", "left").orderBy("source").collect()]
     able = [r for r in rows if r["tokens"] and r["cap"] >= 1 and (r["share"] or 0) > 0]
     whole = sum(r["share"] for r in able)
@@ -118,10 +123,11 @@ def plan(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, copy_no, n_tokens, shuffle_key): the mixture, in the order of ``shuffle_key``."""
     spark = documents.sparkSession
-    planned = [(r["source"], r["cdf"]) for r in plan(documents, targets, total_tokens, tokenizer)]
+    stock = checkpoint(distinct_documents(documents, tokenizer))  # ids and counts only, so that texts are tokenised once
+    planned = [(r["source"], r["cdf"]) for r in plan(stock, targets, total_tokens)]
     chances = spark.createDataFrame(planned, "source string, cdf array<double>")  # at most MOST_SOURCES rows
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(2**53))
-    counted = distinct_documents(documents, tokenizer).join(F.broadcast(chances), "source").withColumn("copies", F.size(F.filter("cdf", lambda c: u >= c)))
+    counted = stock.join(F.broadcast(chances), "source").withColumn("copies", F.size(F.filter("cdf", lambda c: u >= c)))
     copies = counted.filter("copies > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"))
     keyed = copies.select("doc_id", "source", "copy_no", "n_tokens", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "copy_no").alias("shuffle_key"))
     return keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
