@@ -3,9 +3,9 @@
 Each of ``CURVES`` curves projects the unit vectors on ``DIMENSIONS`` random orthogonal axes, shifts the
 grid, and orders the vectors along a Hilbert curve. Vectors are range-partitioned along each curve into
 buckets of about ``BUCKET`` rows cut at approximate quantiles of all keys; the first rows of the next
-bucket come along as a halo, so no window is broken by a bucket's end. Within a bucket every vector is
-compared with the ``WINDOW`` vectors on either side; the curves' finds are merged and ranked by exact
-cosine similarity. A key so common that it spans several quantiles is spread over them by a hash of the
+bucket come along as a halo, so that a bucket's end cuts no neighbourhood off. Within a bucket every vector
+is compared with the ``WINDOW`` vectors on either side, as products of small matrices of which only the
+best are kept; the curves' finds are merged and ranked by exact cosine similarity. A key so common that it spans several quantiles is spread over them by a hash of the
 id, so no bucket grows with the data.
 
 Equal vectors of one model are first reduced to one (the smallest id), and their members are brought in
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 CURVES = 10
 DIMENSIONS = 8
 BITS = 5
-WINDOW = 32
+WINDOW = 4_096
 BUCKET = 4_096
-#: Quantiles per bucket; the halo is one of them and holds well over WINDOW rows.
+ROWS_AT_ONCE = 512
+#: Quantiles per bucket; the halo is one of them.
 STEPS = 8
 MOST_SPLITS = 10_000
 K = 5
@@ -146,17 +147,19 @@ def group_neighbours(reps: DataFrame, k: int, curves: int, window: int, min_simi
         frame = frame.sort_values(["step", "k", "id"], kind="stable")
         ids, unit = frame["id"].to_numpy(), np.stack(frame["v"].to_numpy())
         n = len(ids)
-        ahead = min(window, n - 1)
-        found = np.full((n, 2 * max(ahead, 1)), -3.0, dtype=np.float32)
-        for d in range(1, ahead + 1):
-            s = np.einsum("ij,ij->i", unit[:-d], unit[d:])
-            found[:-d, d - 1], found[d:, ahead + d - 1] = s, s
-        best = min(k, found.shape[1])
-        at = np.argpartition(-found, best - 1, axis=1)[:, :best]
-        score = np.take_along_axis(found, at, 1)
-        who = np.arange(n)[:, None] + np.where(at < ahead, at + 1, ahead - at - 1)
-        good = score >= max(floor - 1e-4, -2.0)
-        a, b = np.broadcast_to(np.arange(n)[:, None], at.shape)[good], who[good]
+        best = max(1, min(k, n - 1))
+        firsts, seconds = [], []
+        for low in range(0, n, ROWS_AT_ONCE):  # each stretch of the curve against its neighbourhood
+            high = min(n, low + ROWS_AT_ONCE)
+            left, right = max(0, low - window), min(n, high + window)
+            score = unit[low:high] @ unit[left:right].T
+            mine = np.arange(low, high)
+            score[mine - low, mine - left] = -3.0
+            at = np.argpartition(-score, best - 1, axis=1)[:, :best] if score.shape[1] > best else np.broadcast_to(np.arange(score.shape[1]), (high - low, score.shape[1]))
+            good = np.take_along_axis(score, at, 1) >= max(floor - 1e-4, -2.0)
+            firsts.append(np.broadcast_to(mine[:, None], at.shape)[good])
+            seconds.append((at + left)[good])
+        a, b = np.concatenate(firsts), np.concatenate(seconds)
         exact = np.einsum("ij,ij->i", unit[a].astype(np.float64), unit[b].astype(np.float64))
         out = pd.DataFrame({"space": frame["space"].iloc[0], "a": ids[a], "b": ids[b], "similarity": exact})
         return out[(out["similarity"] >= floor - 1e-7) & (out["a"] != out["b"])]
