@@ -26,7 +26,7 @@ from courtmill.session import named
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "address": "[ADDRESS]", "name": "[NAME]"}
-MOST_PUBLIC_NAMES = 10_000
+MOST_PUBLIC_NAMES = 200_000
 #: Characters a parser may look at on either side of its anchor.
 REACH = 160
 

@@ -141,6 +141,13 @@ ORACLE: dict[str, str] = {
         SELECT 'review_text', ord, CAST(pos - 1 AS INTEGER) FROM (
             SELECT ord, unnest(review_text) AS seg, generate_subscripts(review_text, 1) AS pos FROM source_record)
         WHERE {_STRIPPED.format("seg")}""",
+    "p5_found": """
+        WITH e AS (SELECT id, model_id, CAST(vector AS DOUBLE[]) AS v FROM chunk_embedding
+                   WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+        pairs AS (SELECT a.id AS ia, b.id AS ib, round(list_cosine_similarity(a.v, b.v), 9) AS s
+                  FROM e a JOIN e b ON a.model_id IS NOT DISTINCT FROM b.model_id AND len(a.v) = len(b.v) AND a.id <> b.id),
+        ranked AS (SELECT ia, ib, s, row_number() OVER (PARTITION BY ia ORDER BY s DESC, ib) AS rn FROM pairs)
+        SELECT DISTINCT least(ia, ib) AS id_a, greatest(ia, ib) AS id_b FROM ranked WHERE rn <= 5 AND s >= 0.9""",
     "p6_found": """
         WITH seg AS (SELECT ord, source, generate_subscripts(review_text, 1) - 1 AS seg_no, unnest(review_text) AS s FROM source_record),
         parts AS (SELECT ord, source, seg_no, string_split(s, chr(10)) AS l FROM seg),
