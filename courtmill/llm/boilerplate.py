@@ -2,15 +2,16 @@
 
 The token streams of a host's pages are concatenated, block by block, and a suffix array (sorted to
 ``REACH`` tokens by prefix doubling) finds the substrings of ``REACH`` or more tokens that stand in many
-distinct pages; lines shorter than that are compared whole. Counts of all blocks are added up, and what
-stands in ``SHARE`` of the host's pages (at least ``MIN_PAGES``) is boilerplate. Covered tokens are
+distinct pages; lines shorter than that are compared whole. What reaches a block's part of the limit is
+counted in all blocks of the host, the counts are added up, and what stands in ``SHARE`` of the host's
+pages (at least ``MIN_PAGES``) is boilerplate. Covered tokens are
 removed; what stays are each page's unique runs, from its headline on. An exact check of the lines
 follows: repeated lines that belong to the body (subheads, which the corpus shows to be followed by
 unique paragraphs, and attribute lines) are put back, and unique lines that don't (bylines, breadcrumbs,
 links to other pages, teasers, readers' comments) are dropped.
 
-A block holds at most ``BLOCK_PAGES`` pages or about ``BLOCK_CHARS`` characters, so a hot host is many
-blocks; pages fetched again count once. The dictionary of a host has at most ``REACH / SHARE`` entries
+A block holds about ``BLOCK_PAGES`` distinct pages or ``BLOCK_CHARS`` characters of them, so a hot host is
+many blocks; pages fetched again count once. The dictionary of a host has at most ``REACH / SHARE`` entries
 per token of a page and is joined by host (broadcast only if few hosts). Defined results: pages with an
 error status or with null or blank text have no line; repeated pages each give their lines; an empty
 table gives an empty result; extra columns are ignored.
@@ -149,15 +150,23 @@ def good_pages(pages: DataFrame) -> DataFrame:
 
 
 def repeated_runs(pages: DataFrame) -> DataFrame:
-    """(source, runs): for each host the hashes of its repeated token runs and short lines."""
+    """(source, runs): for each host the hashes of its repeated token runs and short lines.
+
+    A run in ``need`` of a host's pages stands in at least the block's part of ``need`` in one block or
+    more. Runs that reach that part anywhere are counted again in every block of the host, so the sum
+    compared with ``need`` leaves out no page.
+    """
     each = pages.withColumn("page", F.xxhash64(F.when(F.col("url") != "", F.col("url")).otherwise(F.col("text"))))
-    hosts = each.groupBy("source").agg(F.approx_count_distinct("page", 0.01).alias("about"), F.sum(F.length("text")).alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("about") / BLOCK_PAGES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    hosts = hosts.select("source", blocks.alias("blocks"))
-    dealt = each.join(small(hosts), "source").withColumn("block", F.pmod("page", "blocks").cast("int"))
+    once = each.groupBy("source", "page").agg(F.max(F.length("text")).alias("chars"))
+    hosts = once.groupBy("source").agg(F.count(F.lit(1)).alias("host_pages"), F.sum("chars").alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("host_pages") / BLOCK_PAGES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    need = F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("host_pages") * SHARE)).cast("bigint")
+    hosts = hosts.select("source", "host_pages", blocks.alias("blocks"), need.alias("need"))
+    dealt = each.join(small(hosts), "source").withColumn("block", F.pmod("page", "blocks").cast("int")).repartition("source", "block")
+    # One text per page, the same whenever it is read; the partitioning serves this and both counts.
+    dealt = dealt.groupBy("source", "block", "host_pages", "blocks", "need", "page").agg(F.min("text").alias("text"))
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("page")
         streams, shorts = [], {}
         for i, text in enumerate(frame["text"]):
             _, codes = page_lines(text)
@@ -165,24 +174,38 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
             for c in codes:
                 if 0 < len(c) < REACH:
                     shorts.setdefault(_line_hash(c), set()).add(i)
+        least = -(-int(frame["need"].iloc[0]) * len(frame) // int(frame["host_pages"].iloc[0]))
         order, group, owner = suffix_groups(streams)
         pairs = np.unique(np.stack([group, owner]), axis=1) if len(order) else np.empty((2, 0), np.int64)
-        ids, starts, pages_in = np.unique(pairs[0], return_index=True, return_counts=True)
-        first = np.searchsorted(group, ids[pages_in >= 2])
-        flat = np.concatenate(streams) if streams else np.empty(0, np.uint64)
-        at = order[first]
-        long = np.array([_hashes(flat[p : p + REACH], REACH)[0] for p in at], dtype=np.int64)
-        often = [(h, len(s)) for h, s in shorts.items() if len(s) >= 2]
+        ids, pages_in = np.unique(pairs[0], return_counts=True)
+        first = np.searchsorted(group, ids[pages_in >= least])
+        flat = np.concatenate(streams)
+        long = np.array([_hashes(flat[p : p + REACH], REACH)[0] for p in order[first]], dtype=np.int64)
+        often = [(h, len(s)) for h, s in shorts.items() if len(s) >= least]
         run = np.concatenate([long, np.array([h for h, _ in often], dtype=np.int64)])
-        n = np.concatenate([pages_in[pages_in >= 2], np.array([c for _, c in often], dtype=np.int64)])
-        # A row without a run carries the block's number of pages.
-        return pd.DataFrame({"source": frame["source"].iloc[0] if len(frame) else "", "run": pd.array([None, *run.tolist()], dtype="Int64"), "pages": np.array([len(frame), *n.tolist()], dtype="int64")})
-
-    counted = dealt.select("source", "block", "page", "text").groupBy("source", "block").applyInPandas(count, "source string, run bigint, pages bigint")
-    total = counted.groupBy("source", "run").agg(F.sum("pages").alias("pages"))
-    size = total.filter("run is null").select("source", F.col("pages").alias("host_pages"))
-    kept = total.filter("run is not null").join(small(size), "source").filter(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("host_pages") * SHARE)))
-    return kept.groupBy("source").agg(F.collect_list("run").alias("runs"))  # at most REACH / SHARE per token of a page
+        n = np.concatenate([pages_in[pages_in >= least], np.array([c for _, c in often], dtype=np.int64)])
+        return pd.DataFrame({"source": frame["source"].iloc[0], "blocks": frame["blocks"].iloc[0], "need": frame["need"].iloc[0], "run": run, "pages": n})
+
+    def recount(frame: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
+        runs = np.sort(np.asarray(sought["runs"].iloc[0] if len(sought) else [], dtype=np.int64))
+        n = np.zeros(len(runs), dtype=np.int64)
+        for text in frame["text"] if len(runs) else ():
+            _, codes = page_lines(text)
+            shorts = np.array([_line_hash(c) for c in codes if 0 < len(c) < REACH], dtype=np.int64)
+            found = np.unique(np.concatenate([_hashes(np.concatenate(codes), REACH), shorts]))
+            at = np.minimum(np.searchsorted(runs, found), len(runs) - 1)
+            n[at[runs[at] == found]] += 1
+        has = n > 0
+        return pd.DataFrame({"source": frame["source"].iloc[0] if len(frame) else "", "need": frame["need"].iloc[0] if len(frame) else 0, "run": runs[has], "pages": n[has]})
+
+    counted = dealt.groupBy("source", "block").applyInPandas(count, "source string, blocks int, need bigint, run bigint, pages bigint")
+    counted = checkpoint(counted)  # parsed once for both uses
+    whole = counted.filter("blocks = 1").select("source", "need", "run", "pages")
+    sought = counted.filter("blocks > 1").groupBy("source", "blocks").agg(F.collect_set("run").alias("runs"))
+    sought = sought.select("source", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "runs")
+    parts = dealt.filter("blocks > 1").groupBy("source", "block").cogroup(sought.groupBy("source", "block")).applyInPandas(recount, "source string, need bigint, run bigint, pages bigint")
+    total = whole.unionByName(parts.groupBy("source", "need", "run").agg(F.sum("pages").alias("pages")))
+    return total.filter("pages >= need").groupBy("source").agg(F.collect_list("run").alias("runs"))  # at most REACH / SHARE per token of a page
 
 
 def _covered(codes: list[np.ndarray], runs: np.ndarray) -> np.ndarray:

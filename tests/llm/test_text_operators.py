@@ -172,6 +172,24 @@ def test_page_bodies(spark):
     assert boilerplate.body_lines(df.limit(0)).count() == 0
 
 
+def test_runs_counted_over_all_blocks(spark, monkeypatch):
+    """Runs and short lines just over and under the limit, in blocks that hold one or two of them at most."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    rare = {words(12): 4, words(4): 4, words(15): 3, words(5): 3}  # the limit is 4 of 200 pages
+    held = {i: [words(30)] for i in range(200)}
+    for line, n in rare.items():
+        for i in rng.sample(range(200), n):
+            held[i].append(line)
+    rows = [(i, "h", f"https://h/{i}", "\n".join(lines)) for i, lines in held.items()]
+    df = spark.createDataFrame(rows * 3, "page_id int, source string, url string, text string")
+    want = {int(boilerplate._hashes(c, 12)[0]) if len(c) == 12 else boilerplate._line_hash(c) for line, n in rare.items() if n == 4 for c in boilerplate.page_lines(line)[1]}
+    for pages, chars in ((256, 4_000_000), (10, 4_000_000), (256, 2_500)):
+        monkeypatch.setattr(boilerplate, "BLOCK_PAGES", pages)
+        monkeypatch.setattr(boilerplate, "BLOCK_CHARS", chars)
+        assert [(r.source, set(r.runs)) for r in boilerplate.repeated_runs(df).collect()] == [("h", want)]
+
+
 def test_suffix_array_against_brute_force():
     import numpy as np
 
