@@ -23,7 +23,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtmill.session import named, small
@@ -202,7 +202,7 @@ def map_values(records: DataFrame, reference: DataFrame, key: str = "ord", field
     terms = spellings(reference)
     bounded = terms.limit(broadcast_terms + 1).collect()  # at most broadcast_terms + 1 rows
     if len(bounded) > broadcast_terms:
-        return _by_join(values, terms, key)
+        return _by_join(values, terms, reference_frequency(records, reference, fields), key)
     frequency = {r.ref_id: r.n for r in reference_frequency(records, reference, fields).collect()}  # a row per entry of the bounded list
     shared = records.sparkSession.sparkContext.broadcast(Dictionary([tuple(r) for r in bounded], frequency))
 
@@ -224,20 +224,25 @@ def map_values(records: DataFrame, reference: DataFrame, key: str = "ord", field
     return out.select(F.col("record_key").alias(key), "field_name", "value", "ref_id")
 
 
-def _by_join(values: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+def _by_join(values: DataFrame, terms: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
     """The same for a list too long to broadcast: stretches and terms meet on their delete keys."""
     dressing = {f: frozenset(w) for f, w in DRESSING.items()}
-    longest = terms.groupBy("field_name").agg(F.max(F.size(F.split("spelling", r"[\s&/-]+"))).alias("longest"))
+    parts = F.udf(_words, "array<string>")
+    terms = terms.withColumn("parts", parts("spelling")).filter(F.size("parts") > 0)
+    longest = terms.groupBy("field_name").agg(F.max(F.size("parts")).alias("longest"))
     distinct = values.select("field_name", "value").distinct().join(small(longest), "field_name", "left")
 
     @F.udf("array<struct<stretch:string,clean:boolean,rest:int,keys:array<string>>>")
     def cut(field: str, value: str, most: int | None):
         return [(s, c, n, sorted(deletes(s))) for s, c, n in windows(value, dressing.get(field, frozenset()), most or 1) if len(s) <= 80]
 
-    @F.udf("struct<term:string,keys:array<string>>")
-    def enter(spelling: str):
-        term = "".join(_words(spelling))
-        return term, sorted(deletes(term)) if term else []
+    @F.udf("array<string>")
+    def enter(term: str):
+        return sorted(deletes(term))
+
+    @F.udf("array<string>")
+    def bare(field: str, value: str):
+        return [w for w in _words(value) if w not in dressing.get(field, frozenset())]
 
     @F.udf("double")
     def cost(stretch: str, term: str, clean: bool, field: str):
@@ -246,12 +251,27 @@ def _by_join(values: DataFrame, terms: DataFrame, key: str) -> DataFrame:
         return None if bad else d
 
     stretches = distinct.select("field_name", "value", F.explode(cut("field_name", "value", "longest")).alias("w")).select("field_name", "value", "w.stretch", "w.clean", "w.rest", F.explode("w.keys").alias("key"))
-    entered = terms.select("field_name", "ref_id", enter("spelling").alias("t")).select("field_name", "ref_id", "t.term", F.explode("t.keys").alias("key"))
+    entered = terms.select("field_name", "ref_id", F.array_join("parts", "").alias("term")).distinct()
+    entered = entered.select("field_name", "ref_id", "term", F.explode(enter("term")).alias("key"))
     pairs = stretches.join(entered, ["field_name", "key"]).select("field_name", "value", "stretch", "clean", "rest", "term", "ref_id").distinct()
     ranked = pairs.withColumn("cost", cost("stretch", "term", "clean", "field_name")).filter(F.col("cost").isNotNull())
-    rank = F.struct(~F.col("clean"), F.col("cost"), -F.length("term"), F.col("rest"), F.col("ref_id"))
+    ranked = ranked.join(small(frequency.select(F.col("ref_id").cast("int").alias("ref_id"), "n")), "ref_id", "left")
+    rank = F.struct(~F.col("clean"), F.col("cost"), -F.length("term"), F.col("rest"), -F.coalesce("n", F.lit(0)), F.col("ref_id"))
     best = ranked.groupBy("field_name", "value").agg(F.min_by("ref_id", rank).alias("ref_id"))
-    mapped = values.join(best, ["field_name", "value"], "left")
+
+    def only(word: Column, letters: int, name: str) -> DataFrame:
+        """The entry that alone has the word."""
+        each = terms.filter(F.size("parts") > 1).select("field_name", word.alias("word"), "ref_id").filter(F.length("word") >= letters)
+        one = each.groupBy("field_name", "word").agg(F.min("ref_id").alias(name), F.max("ref_id").alias("other"))
+        return small(one.filter(F.col(name) == F.col("other")).drop("other"))
+
+    # What has no candidate may be the first word or the initials of an entry.
+    rest = distinct.join(best, ["field_name", "value"], "left_anti").withColumn("bare", bare("field_name", "value")).filter(F.size("bare") == 1)
+    rest = rest.select("field_name", "value", F.get("bare", F.lit(0)).alias("word"))
+    initials = F.array_join(F.transform("parts", lambda p: F.substring(p, 1, 1)), "")
+    rest = rest.join(only(F.get("parts", F.lit(0)), 4, "leading"), ["field_name", "word"], "left").join(only(initials, 2, "acronym"), ["field_name", "word"], "left")
+    fallback = rest.select("field_name", "value", F.coalesce("leading", "acronym").alias("ref_id")).filter("ref_id is not null")
+    mapped = values.join(best.unionByName(fallback), ["field_name", "value"], "left")
     return mapped.select(F.col("record_key").alias(key), "field_name", "value", F.coalesce("ref_id", F.lit(0)).alias("ref_id"))
 
 

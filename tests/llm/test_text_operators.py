@@ -38,6 +38,18 @@ def test_values_mapped(spark, reference):
     assert canonical.map_values(df.withColumn("brand", F.repeat(F.lit("x y "), 5000)), reference).filter("field_name = 'brand' and ref_id = 0").count() == len(rows)
 
 
+def test_both_paths_on_fallbacks_and_ties(spark):
+    """Acronyms, leading words, the reference frequency and words parted by dots, with the list broadcast and joined."""
+    entries = [(1, "Velo Trixon Nord"), (2, "Marrow Kite"), (3, "Marrow Gale"), (4, "Solenne Park"), (5, "Tarnak"), (6, "Tarnok"), (7, "Ori.Bel.Dun"), (8, "Velo Quist")]
+    reference = spark.createDataFrame([(i, "brand", v, None) for i, v in entries], REF)
+    want = {"VTN": 1, "mk": 2, "Solenne": 4, "Marrow": 0, "Velo": 0, "Tarnek": 6, "Quist": 0, "o r i b e l d u n": 0, "Ori Bel Dun shoes": 7, "ob": 0}
+    values = [*want, *["Tarnok"] * 3, "Tarnak"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "ord int, brand string")
+    for most in (50_000, 2):
+        got = canonical.map_values(df, reference, fields=("brand",), broadcast_terms=most).collect()
+        assert {r.value: r.ref_id for r in got} == want, most
+
+
 def test_distance_against_plain():
     def plain(a, b):
         d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
