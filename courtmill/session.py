@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,23 +35,27 @@ def get_spark(app: str = "courtmill", cores: str | int = "*", **conf: str) -> Sp
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder named by spark.checkpoint.dir.
 
-    Only where that setting is absent, as in tests, a folder of this machine is set.
+    Only where that setting is absent and the session runs in one machine, as in tests, a folder of this
+    machine is set; on a cluster without the setting this raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "courtmill-checkpoints"))
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else ``df`` itself.
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; reads one column and stops at ``rows + 1``."""
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
-    The count reads one column of a table that is expected to be small and stops at ``rows + 1``.
-    """
-    fits = df.select(F.lit(1)).limit(rows + 1).count() <= rows
-    return F.broadcast(df) if fits else df
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else ``df`` itself."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def named(name: str) -> Column:
