@@ -1,99 +1,225 @@
 """Evaluation texts leaking into training text: canonical template windows and slot consistency.
 
-Words (runs of letters and digits, in lower case) are turned into templates: numbers in figures or
-words, units and names become typed placeholders. Windows of ``WINDOW`` template words of both sides
-are hash-joined; what the hashes bring together is then checked slot by slot. A window whose slots
-hold the same values is an exact leak; one whose slots differ, but where each value of the item is
-always replaced by the same value, is a re-parameterised item.
-
-Only two hashes and a position per window leave a document; the held-out side is broadcast if it has
-at most ``BROADCAST_WINDOWS`` windows and shuffled otherwise. Names are words the held-out texts write
-with a capital within a sentence and never without; with none, or too many to inline, that slot type
-stays empty, which costs no exact leak. Defined results: null, empty or shorter-than-window texts have
-no window; repeated rows give one result row per pair of ids; extra columns are ignored.
+Words (runs of letters, digits and marks, in lower case) are turned into templates: numbers in figures or
+words and units become typed placeholders, and what stood there the slots' values. Two kinds of windows
+are hash-joined with those of the held-out texts:
+
+* Windows of ``WINDOW`` words meet on the hash of their template and on the hash of their slots, so what
+  meets holds the same words: an exact leak. Templates that are common because they are mostly slots are
+  parted by their slots' values and make no hot key.
+* Windows of ``WINDOW`` template words, in which a run of numbers and a run of names are one placeholder
+  each, however many words they have, meet on the template alone. A meeting counts where each value of
+  the item always stands against the same value of the document, and not all are equal: a re-parameterised
+  item. A window needs ``LITERALS`` words outside its slots; one of slots only is a table, not a passage.
+
+A name is a word that its own text writes with a capital within a sentence, which either side decides for
+itself; texts that write most words so have no names. Names are typed in the second kind only, so that
+writing in capitals hides no exact leak.
+
+Texts are read once, in Arrow batches; a number per window leaves, hashed in numpy. The held-out side is
+broadcast if it has at most ``BROADCAST_WINDOWS`` windows; beyond, both sides are shuffled by hash, and a
+window common to very many documents is dealt over ``SALTS`` tasks. Either way gives the same rows.
+Defined results: null, empty or shorter-than-window texts have no window; repeated rows give one result
+row per pair of ids; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtmill.session import small
+from courtmill.session import fits
 
 WINDOW = 12
+#: Words outside slots that a re-parameterised window has at least.
+LITERALS = 6
 BROADCAST_WINDOWS = 500_000
-MOST_NAMES = 2_000
+SALTS = 16
+#: Share of capitalised words within sentences from which a text's capitals say nothing.
+CAPITALS = 0.5
+CACHED_WORDS = 300_000
 #: English number words, and units of the field.
-NUMBER_WORDS = (
+NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
-    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen"
-).split()
-UNIT_WORDS = "mm cm m km g kg mg oz lb lbs percent degrees degree minutes minute hours hour seconds second days day weeks week months month years year grams ounces".split()
-
-
-def words(text: Column) -> Column:
-    """The text's words: runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", -1), lambda w: w != "")
-
-
-def _template(word: Column, names: list[str]) -> Column:
-    typed = F.when(word.isin(NUMBER_WORDS) | word.rlike(r"^\p{N}+$"), F.lit("\u0001")).when(word.isin(UNIT_WORDS), F.lit("\u0002"))
-    return (typed.when(word.isin(names), F.lit("\u0003")) if names else typed).otherwise(word)
-
-
-def _name_words(items: DataFrame) -> list[str]:
-    """Bounded by MOST_NAMES; the held-out table is the small side by nature, and this reads no other."""
-    text = F.regexp_replace("text", r"(?:^|[.!?]\s+)\S+", " ")
-    capital = items.select(F.explode(F.regexp_extract_all(text, F.lit(r"\b(\p{Lu}\p{Ll}+)\b"), 1)).alias("w")).select(F.lower("w").alias("w")).distinct()
-    plain = items.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"\b(\p{Ll}+)\b"), 1)).alias("w")).distinct()
-    found = [r.w for r in capital.join(plain, "w", "left_anti").orderBy("w").limit(MOST_NAMES + 1).collect()]
-    return found if len(found) <= MOST_NAMES else []
-
-
-def _windows(df: DataFrame, key: str, window: int, names: list[str]) -> DataFrame:
-    """(key, pos, template_hash, exact_hash), one row per window; positions start at 1."""
-    split = df.filter(F.length("text") >= 2 * window - 1).select(F.col(key), words(F.col("text")).alias("w"))
-    split = split.filter(F.size("w") >= window).select(key, "w", F.transform("w", lambda w: _template(w, names)).alias("t"))
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size("w") - (window - 1)),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("t", i, window)).alias("template_hash"), F.xxhash64(F.slice("w", i, window)).alias("exact_hash")),
-    )
-    return split.select(key, F.explode(spans).alias("s")).select(key, "s.*")
-
-
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, replaced_slots: bool = True) -> DataFrame:
-    """(doc_id, item_id, exact_windows, template_windows): documents with the items they hold.
-
-    ``exact_windows`` counts windows equal word by word, ``template_windows`` those equal but for
-    consistently replaced slots. Pairs with neither are left out; without ``replaced_slots`` only exact
-    windows are checked and counted.
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen".split()
+)
+UNIT_WORDS = frozenset("mm cm m km g kg mg oz lb lbs percent degrees degree minutes minute hours hour seconds second days day weeks week months month years year grams ounces".split())
+NUMBER, UNIT, NAME = 1, 2, 3
+_PLAIN = regex.compile(r"[a-z0-9]+")
+_ANY = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+#: Words within a sentence, and those of them with a capital.
+_WITHIN = regex.compile(r"(?<=[\p{L}\p{N},;]\s)\p{L}[\p{L}\p{M}]+")
+_CAPITAL = regex.compile(r"(?<=[\p{L}\p{N},;]\s)\p{Lu}[\p{Ll}\p{M}]+(?!\p{L})")
+_MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(128)], dtype=np.uint64)
+_TYPE = np.array([0] + [xxhash.xxh64_intdigest(f"slot {i}") for i in (NUMBER, UNIT, NAME)], dtype=np.uint64)
+
+
+def words(text: str) -> list[str]:
+    """The text's words: runs of letters, digits and marks in lower case."""
+    low = text.lower()
+    return (_PLAIN if low.isascii() else _ANY).findall(low)
+
+
+def name_words(text: str) -> frozenset[str]:
+    """The words a text writes with a capital within its sentences."""
+    capital = _CAPITAL.findall(text)
+    if not capital or len(capital) > CAPITALS * len(_WITHIN.findall(text)):
+        return frozenset()
+    return frozenset(w.lower() for w in capital)
+
+
+class _Coder:
+    """Codes of words, kept from batch to batch."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def __call__(self, found: list[str]) -> list[tuple[int, int]]:
+        """(code, slot type or 0) of each word."""
+        known = self.known
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        try:
+            return [known[w] for w in found]
+        except KeyError:
+            for w in found:
+                if w not in known:
+                    kind = NUMBER if w in NUMBER_WORDS or w.isnumeric() else UNIT if w in UNIT_WORDS else 0
+                    known[w] = (xxhash.xxh64_intdigest(w), kind)
+            return [known[w] for w in found]
+
+
+def _rolling(codes: np.ndarray, window: int, salt: int) -> np.ndarray:
+    """A hash of the ``window`` codes from each place on, as signed 64 bits."""
+    n = len(codes) - window + 1
+    total = np.full(n, _MIX[100 + salt], dtype=np.uint64)
+    for i in range(window):
+        total += codes[i : i + n] * _MIX[(i + 7 * salt) % 100]
+        total ^= total >> np.uint64(31)
+    return (total * _MIX[90 + salt] ^ (total >> np.uint64(29))).view(np.int64)
+
+
+def _texts(batch: pa.RecordBatch, window: int, coder: _Coder) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """(row, text, codes, kinds) of the texts long enough for a window."""
+    for row, text in enumerate(batch.column("text").to_pylist()):
+        found = words(text)
+        if len(found) >= window:
+            pairs = np.array(coder(found), dtype=np.uint64)
+            yield row, text, pairs[:, 0], pairs[:, 1].astype(np.int64)
+
+
+def _readable(df: DataFrame, key: str, window: int) -> DataFrame:
+    return df.filter(F.length("text") >= 2 * window - 1).select(F.col(key).cast("long").alias(key), "text")
+
+
+def exact_windows(df: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
+    """(key, pos, template_hash, slot_hash), one row per window; positions count words from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _Coder()
+        for batch in batches:
+            read = list(_texts(batch, window, coder))
+            if not read:
+                continue
+            sizes = np.array([len(codes) for _, _, codes, _ in read])
+            codes, kinds = np.concatenate([r[2] for r in read]), np.concatenate([r[3] for r in read])
+            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = np.arange(len(codes)) - starts
+            whole = np.flatnonzero(place <= np.repeat(sizes, sizes) - window)
+            template = _rolling(np.where(kinds > 0, _TYPE[kinds], codes), window, 0)[whole]
+            slots = _rolling(np.where(kinds > 0, codes, np.uint64(0)), window, 1)[whole]
+            rows = np.repeat(np.array([r[0] for r in read]), sizes)[whole]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.array(place[whole].astype(np.int32)), pa.array(template), pa.array(slots)], [key, "pos", "template_hash", "slot_hash"])
+
+    return _readable(df, key, window).mapInArrow(run, f"{key} bigint, pos int, template_hash bigint, slot_hash bigint")
+
+
+def template_windows(df: DataFrame, key: str, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """(key, pos, template_hash, slots): windows of template words with a slot and enough literal words.
+
+    ``slots`` holds a hash of each slot's value, in order; positions count template words from 0.
     """
-    docs = documents.select("doc_id", "text")
-    held = items.select("item_id", "text")
-    names = _name_words(held)
-    theirs = _windows(held, "item_id", window, names).select("item_id", F.col("pos").alias("item_pos"), "template_hash", F.col("exact_hash").alias("item_hash"))
-    hits = _windows(docs, "doc_id", window, names).join(small(theirs, BROADCAST_WINDOWS), "template_hash")
-    exact = F.col("exact_hash") == F.col("item_hash")
-    sure = hits.filter(exact).groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("exact_windows"))
-    if not replaced_slots:
-        return sure.select("doc_id", "item_id", F.col("exact_windows").cast("int").alias("exact_windows"), F.lit(0).alias("template_windows"))
-    loose = hits.filter(~exact).select("doc_id", "item_id", "pos", "item_pos").distinct()
-    replaced = consistent(loose, docs, held, window).groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("template_windows"))
-    both = sure.join(replaced, ["doc_id", "item_id"], "full_outer")
-    return both.select("doc_id", "item_id", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("exact_windows", "template_windows")])
-
-
-def consistent(pairs: DataFrame, docs: DataFrame, held: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The windows of ``pairs`` in which each word of the item always stands against the same word."""
-    of_doc = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", words(F.col("text")).alias("dw"))
-    of_item = held.dropDuplicates(["item_id"]).select("item_id", words(F.col("text")).alias("iw"))
-    cut = pairs.join(of_doc, "doc_id").join(of_item, "item_id")
-    slots = F.arrays_zip(F.slice("iw", F.col("item_pos"), window).alias("a"), F.slice("dw", F.col("pos"), window).alias("b"))
-    cut = cut.select("doc_id", "item_id", "pos", F.array_distinct(slots).alias("slots"))
-    one_to_one = F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))) == F.size("slots")
-    return cut.filter(one_to_one).select("doc_id", "item_id", "pos")
-
-
-def exact_pairs(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _Coder()
+        for batch in batches:
+            rows, places, hashes, counts, values = [], [], [], [], []
+            for row, text, codes, kinds in _texts(batch, window, coder):
+                names = {xxhash.xxh64_intdigest(w) for w in name_words(text)}
+                if names:
+                    kinds = np.where((kinds == 0) & np.isin(codes, np.fromiter(names, np.uint64, len(names))), NAME, kinds)
+                if not kinds.any():
+                    continue
+                same = np.concatenate([[False], (kinds[1:] == kinds[:-1]) & ((kinds[1:] == NUMBER) | (kinds[1:] == NAME))])
+                first = np.flatnonzero(~same)
+                if len(first) < window:
+                    continue
+                # The value of a run mixes its words in order.
+                within = np.arange(len(codes)) - first[np.cumsum(~same) - 1]
+                value = np.add.reduceat(codes * _MIX[within % 90], first)
+                kind = kinds[first]
+                template = _rolling(np.where(kind > 0, _TYPE[kind], codes[first]), window, 2)
+                slotted = np.concatenate([[0], np.cumsum(kind > 0)])
+                number = slotted[window:] - slotted[:-window]
+                keep = np.flatnonzero((number > 0) & (window - number >= literals))
+                if not len(keep):
+                    continue
+                filled = value[kind > 0].view(np.int64)
+                low, n = slotted[keep], number[keep]
+                rows.append(np.full(len(keep), row))
+                places.append(keep)
+                hashes.append(template[keep])
+                counts.append(n)
+                values.append(filled[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+            if rows:
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+                slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(hashes)), slots], [key, "pos", "template_hash", "slots"])
+
+    return _readable(df, key, window).mapInArrow(run, f"{key} bigint, pos int, template_hash bigint, slots array<bigint>")
+
+
+def _meet(docs: DataFrame, held: DataFrame, on: list[str], broadcast_windows: int) -> DataFrame:
+    """Equal windows of both sides: broadcast within the bound, else shuffled with documents dealt over salts."""
+    if fits(held, broadcast_windows):
+        return docs.join(F.broadcast(held), on)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(held.withColumn("salt", salts), [*on, "salt"]).drop("salt")
+
+
+def exact_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, exact_windows): numbers of the document's windows that stand in the item word by word."""
+    held = exact_windows(items, "item_id", window).select("item_id", "template_hash", "slot_hash").distinct()
+    hits = _meet(exact_windows(documents, "doc_id", window), held, ["template_hash", "slot_hash"], broadcast_windows)
+    return hits.groupBy("doc_id", "item_id").agg(F.countDistinct("pos").cast("int").alias("exact_windows"))
+
+
+def consistent(theirs: Column, ours: Column) -> Column:
+    """Whether each value of the item's slots always stands against the same value, and some against another."""
+    pairs = F.array_distinct(F.arrays_zip(theirs.alias("a"), ours.alias("b")))
+    return (F.size(F.array_distinct(theirs)) == F.size(pairs)) & (theirs != ours)
+
+
+def replaced_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, template_windows): numbers of the document's windows that are the item's with replaced values."""
+    held = template_windows(items, "item_id", window).select("item_id", "template_hash", F.col("slots").alias("item_slots")).distinct()
+    hits = _meet(template_windows(documents, "doc_id", window), held, ["template_hash"], broadcast_windows)
+    found = hits.filter(consistent(F.col("item_slots"), F.col("slots")))
+    return found.groupBy("doc_id", "item_id").agg(F.countDistinct("pos").cast("int").alias("template_windows"))
+
+
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, exact_windows, template_windows): documents with the items they hold, pairs with neither left out."""
+    both = exact_leaks(documents, items, window, broadcast_windows).join(replaced_leaks(documents, items, window, broadcast_windows), ["doc_id", "item_id"], "full_outer")
+    return both.select("doc_id", "item_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("exact_windows", "template_windows")])
+
+
+def exact_pairs(documents: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id) of documents with at least ``window`` consecutive words of an item."""
-    return leaks(documents, items, window, replaced_slots=False).select("doc_id", "item_id")
+    return exact_leaks(documents, items, window, broadcast_windows).select("doc_id", "item_id")

@@ -5,7 +5,8 @@ stretch has nothing better. The dynamic programme takes the cuts that minimise t
 penalties and of the squared deviation from equal sizes, subject to the greatest length, with each
 piece starting about ``overlap`` characters before the end of the one before it (moved to a word's
 start within ``SLACK`` characters where there is one). Weaker cut points are offered only in stretches
-without stronger ones, so the work is linear in the text's length.
+without stronger ones, so the work is linear in the text's length. A letter and its marks stay together
+unless they alone are longer than a piece's room.
 
 Only items over the limit leave the JVM. An item is stripped of spaces, tabs and line breaks at both
 ends first. Defined results: null and blank items have no piece, an item within the limit is one
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from unicodedata import combining
 
 import numpy as np
 import pandas as pd
@@ -53,9 +55,8 @@ def _cut_points(text: str, widest: int) -> tuple[np.ndarray, np.ndarray]:
     last = 0
     for at in sorted(cost):
         while at - last > widest:
-            last += max(1, widest // 4)
-            while last < at - 1 and _joins(text, last):
-                last += 1
+            aim = last + max(1, widest // 4)
+            last = _whole_letter(text, aim, min(at - 1, aim + widest // 4))
             cost.setdefault(last, LETTER)
         last = at
     points = np.array(sorted(cost))
@@ -64,8 +65,12 @@ def _cut_points(text: str, widest: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _joins(text: str, at: int) -> bool:
     """Whether the character at ``at`` belongs to the one before it (marks, joiners, variation selectors)."""
-    c = ord(text[at])
-    return 0x300 <= c < 0x370 or c in (0x200D, 0xFE0F) or (at > 0 and ord(text[at - 1]) == 0x200D)
+    return bool(combining(text[at])) or text[at] in "\u200d\ufe0f" or (at > 0 and text[at - 1] == "\u200d")
+
+
+def _whole_letter(text: str, at: int, most: int) -> int:
+    """The first place from ``at`` to ``most`` that parts no letter from its marks, or ``at`` within a longer run of marks."""
+    return next((i for i in range(at, most + 1) if not _joins(text, i)), at)
 
 
 def _restart(text: str, end: int, overlap: int) -> int:
@@ -74,9 +79,7 @@ def _restart(text: str, end: int, overlap: int) -> int:
     low, high = max(0, aim - SLACK), min(end, aim + SLACK)
     starts = [m.end() for m in _SPACE.finditer(text, low, high) if m.end() < end]
     if not starts:
-        while aim < end - 1 and _joins(text, aim):
-            aim += 1
-        return aim
+        return _whole_letter(text, aim, min(end - 1, aim + SLACK))
     return min(starts, key=lambda s: (abs(s - aim), s))
 
 

@@ -35,6 +35,11 @@ def test_boundaries_and_long_texts():
         assert prose[:b].rstrip(" \n").endswith(".") and a < b
     check_pieces("x" * 400_000, 1500, 150)
     check_pieces(" ".join(["word"] * 100_000), 1500, 150)
+    for marks in ("a" + "\u0301" * 4000, "\u200d" * 5000, "x " * 700 + "\u0301" * 4000 + " y" * 700):
+        check_pieces(marks, 1500, 150)
+        check_pieces(marks, 12, 0)
+    for a, b in splitting.cut("e\u0301" * 3000, 1500, 150):
+        assert a % 2 == 0 and b % 2 == 0
 
 
 def test_split_rows(spark):

@@ -90,14 +90,33 @@ def test_leaks(spark):
 
 
 def test_replaced_slots(spark):
-    item = "A train leaves the old station with twelve coaches and needs forty minutes to reach the next town on the line"
-    renamed = item.replace("twelve", "nine").replace("forty", "55")
+    item = "A train leaves the old station with twelve coaches and needs forty five minutes to reach the next town on the line"
+    renamed = item.replace("twelve", "nine").replace("forty five", "55")
+    longer = item.replace("twelve", "one hundred and").replace("forty five", "thirty")
     mixed = "twelve and twelve coaches of the old line need twelve minutes for twelve towns on the line again"
     other = mixed.replace("twelve", "six", 1).replace("twelve", "seven", 1)
-    e = spark.createDataFrame([(1, item), (2, mixed)], "item_id bigint, text string")
-    d = spark.createDataFrame([(1, renamed), (2, item), (3, other)], "doc_id bigint, text string")
-    rows = {(r.doc_id, r.item_id): (r.exact_windows, r.template_windows) for r in leakage.leaks(d, e).collect()}
-    assert rows[2, 1][0] > 0 and rows[1, 1][1] > 0 and (3, 2) not in {k for k, v in rows.items() if v[1] == 10}
+    named = "Before noon the baker Marta sells her warm bread to the miller Jonas Heide near the stone bridge by the river"
+    replaced = named.replace("Marta", "Ines").replace("Jonas Heide", "Ole")
+    table = " ".join(str(i) for i in range(30))
+    e = spark.createDataFrame([(1, item), (2, mixed), (3, named), (4, table)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, renamed), (2, item), (3, other), (4, replaced), (5, " ".join(str(i + 7) for i in range(30))), (6, longer), (7, table), (8, item.upper())], "doc_id bigint, text string")
+    for most in (500_000, 1):
+        rows = {(r.doc_id, r.item_id): (r.exact_windows, r.template_windows) for r in leakage.leaks(d, e, broadcast_windows=most).collect()}
+        assert rows[2, 1][0] > 0 and rows[8, 1][0] == rows[2, 1][0] and rows[2, 1][1] == 0
+        assert rows[1, 1] == (0, 10) and rows[4, 3][1] > 0 and rows[6, 1][1] > 0
+        assert rows[3, 2] == (4, 0) and (5, 4) not in {k for k, v in rows.items() if v[1]} and rows[7, 4] == (19, 0)
+
+
+def test_template_windows_many_slots(spark):
+    """A corpus of number tables meets a held-out table only where all words are equal."""
+    rng = random.Random(2)
+    tables = [(i, " ".join(str(rng.randrange(50)) for _ in range(40))) for i in range(300)]
+    tables.append((900, tables[0][1]))
+    d = spark.createDataFrame(tables, "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, tables[0][1])], "item_id bigint, text string")
+    got = {r.doc_id for r in leakage.leaks(d, e).collect()}
+    assert got == {0, 900}
+    assert leakage.leaks(d, e.limit(0)).count() == 0 and leakage.leaks(d.limit(0), e).count() == 0
 
 
 PRIVATE = [
