@@ -2,13 +2,16 @@
 
 For each (source, line) the number of the source's records that hold the line is set against the
 line's frequency outside the source. Sources that repeat the line themselves (``REPEATS`` records or
-more) are left out of the outside side: a notice shared by several sites is no ordinary use of the line. Where that leaves fewer outside records than the source has, the line is set against the mean
-line frequency within the source instead. P-values are conservative upper bounds of the chi-square
+more) are left out of the outside side: a notice shared by several sites is no ordinary use of the line.
+Where that leaves fewer outside records than the source has, the line is set against the mean line
+frequency within the source instead. P-values are conservative upper bounds of the chi-square
 tail, kept as logarithms; the Benjamini-Hochberg cut is found on a histogram of them, so nothing is
 sorted globally and nothing but the histogram (one row per tenth of a nat) is in one place.
 
-Only 128 bits per line are shuffled, never texts; a record's own repeats are dropped before the
-shuffle, and counts are combined on the map side, so a hot source or line is no hot task.
+Only 128 bits per line are shuffled, never texts; a record's own repeats are dropped before the shuffle.
+Where no ``ord`` comes twice, which is looked up first, counts are combined on the map side; where some do,
+each (source, line, ord) is shuffled once, spread by all three, so a hot source or line is no hot task
+either way. The counts are written once and read by every later step.
 
 Defined results: null segments and blank lines have no line; a null source is a source of its own;
 repeated rows with the same ``ord`` count once; an empty table gives an empty result; extra columns
@@ -20,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtmill.session import checkpoint
+
 MIN_RECORDS = 15
 #: Records of another source from which that source counts as repeating the line itself.
 REPEATS = 3
@@ -54,7 +59,9 @@ def line_counts(records: DataFrame) -> DataFrame:
     """(site, k1, k2, n): the number of a site's records that hold a line."""
     keys = F.flatten(F.transform(F.filter("review_text", lambda s: s.isNotNull()), lambda s: F.transform(F.split(s, "\n", -1), _keyed)))
     each = _records(records).select("ord", "site", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
-    return each.select("site", "key.k1", "key.k2", "ord").groupBy(*KEYS).agg(F.countDistinct("ord").alias("n"))
+    once = records.groupBy("ord").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    n = F.count(F.lit(1)) if once else F.countDistinct("ord")
+    return each.select("site", "key.k1", "key.k2", "ord").groupBy(*KEYS).agg(n.alias("n"))
 
 
 def _xlogy(x: Column, y: Column) -> Column:
@@ -68,7 +75,7 @@ def _log_p(ratio: Column) -> Column:
 
 def excess_lines(records: DataFrame, min_records: int = MIN_RECORDS, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """(site, k1, k2, n, expected, ratio, log_p) of the lines a site repeats significantly often."""
-    counts = line_counts(records)
+    counts = checkpoint(line_counts(records))  # 128 bits and two short columns a line; read three times
     sites = _records(records).groupBy("site").agg(F.countDistinct("ord").alias("site_records"))
     lines = counts.groupBy("site").agg(F.avg("n").alias("mean_n"), F.count(F.lit(1)).alias("tests"))
     sites = sites.join(lines, "site", "left")
