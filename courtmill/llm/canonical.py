@@ -8,8 +8,10 @@ the reference entry occurs letter for letter in the data, then by id. Words a fi
 dressed in (``DRESSING``) cost nothing; other words left over allow an exact spelling only.
 
 The dictionary is broadcast while the list has at most ``BROADCAST_TERMS`` spellings; a longer list is
-joined on the delete keys instead. Values never leave their rows' partitions in the first case: each
-batch resolves its distinct values once, so a hot value costs no shuffle.
+joined on the delete keys instead, under the same rules. Values never leave their rows' partitions in the
+first case: each batch resolves its distinct values once, so a hot value costs no shuffle. In the second
+only distinct values are joined. Spellings and stretches of more than ``LONGEST_EDITED`` letters are
+entered and looked up letter for letter.
 
 Defined results: null and blank values have no row; a value that means no entry has ``ref_id`` 0; an
 empty list maps everything to 0; repeated rows give repeated results; extra columns are ignored.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from courtmill.session import named, small
 
 MOST_EDITS = 2
+#: Letters up to which edits are looked for: a stretch has some n * n / 2 deletes.
+LONGEST_EDITED = 80
 BROADCAST_TERMS = 50_000
 CACHED_VALUES = 200_000
 FIELDS = ("brand", "cushioning_tech", "cut_height")
@@ -63,6 +67,11 @@ def deletes(term: str, edits: int = MOST_EDITS) -> set[str]:
     return found
 
 
+def lookup_keys(term: str) -> set[str]:
+    """What a spelling is entered and looked up under."""
+    return deletes(term) if len(term) <= LONGEST_EDITED else {term}
+
+
 def bound(term: str) -> float:
     """Greatest weighted distance at which a spelling still counts as this term."""
     return 1.0 if len(term) <= 6 else 2.0
@@ -116,7 +125,7 @@ class Dictionary:
             if not term:
                 continue
             self.longest[field] = max(self.longest.get(field, 1), len(parts))
-            for key in deletes(term):
+            for key in lookup_keys(term):
                 self.index[field, key].add((term, ref))
             if len(parts) > 1:
                 leading[field, parts[0]].add(ref)
@@ -126,7 +135,7 @@ class Dictionary:
 
     def candidates(self, field: str, text: str) -> set[tuple[str, int]]:
         found: set[tuple[str, int]] = set()
-        for key in deletes(text):
+        for key in lookup_keys(text):
             found |= self.index.get((field, key), set())
         return found
 
@@ -153,17 +162,20 @@ def windows(value: str, dressing: frozenset[str], longest: int) -> Iterator[tupl
                 yield stretch, clean, len(whole) - len(stretch)
 
 
+def cost(stretch: str, term: str, clean: bool, dressing: frozenset[str]) -> float | None:
+    """The distance of a stretch to a spelling, or None if it doesn't mean it."""
+    d = distance(stretch, term, bound(term))
+    bad = d > bound(term) or (not clean and (d > 0 or len(term) < 3)) or (len(stretch) < 3 and d > 1.0) or (stretch in dressing and d > 0)
+    return None if bad else d
+
+
 def choose(field, value, dressing, longest, candidates, frequency, leading, acronym) -> int:
     """The best candidate over all stretches of a value, or 0."""
     best: tuple | None = None
     for stretch, clean, left in windows(value, dressing, longest):
-        if len(stretch) > 80:
-            continue
         for term, ref in candidates(field, stretch):
-            d = distance(stretch, term, bound(term))
-            if d > bound(term) or (not clean and (d > 0 or len(term) < 3)) or (len(stretch) < 3 and d > 1.0):
-                continue
-            if stretch in dressing and d > 0:
+            d = cost(stretch, term, clean, dressing)
+            if d is None:
                 continue
             rank = (not clean, d, -len(term), left, -frequency.get(ref, 0), ref)
             best = min(best, rank) if best else rank
@@ -227,34 +239,43 @@ def map_values(records: DataFrame, reference: DataFrame, key: str = "ord", field
 def _by_join(values: DataFrame, terms: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
     """The same for a list too long to broadcast: stretches and terms meet on their delete keys."""
     dressing = {f: frozenset(w) for f, w in DRESSING.items()}
-    parts = F.udf(_words, "array<string>")
-    terms = terms.withColumn("parts", parts("spelling")).filter(F.size("parts") > 0)
-    longest = terms.groupBy("field_name").agg(F.max(F.size("parts")).alias("longest"))
-    distinct = values.select("field_name", "value").distinct().join(small(longest), "field_name", "left")
+    none: frozenset[str] = frozenset()
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["parts"] = [_words(v) for v in batch["spelling"]]
+            yield batch
 
-    @F.udf("array<struct<stretch:string,clean:boolean,rest:int,keys:array<string>>>")
-    def cut(field: str, value: str, most: int | None):
-        return [(s, c, n, sorted(deletes(s))) for s, c, n in windows(value, dressing.get(field, frozenset()), most or 1) if len(s) <= 80]
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for field, value, most in zip(batch["field_name"], batch["value"], batch["longest"], strict=True):
+                rows = [(field, value, s, c, n, key) for s, c, n in windows(value, dressing.get(field, none), int(most)) for key in lookup_keys(s)]
+                yield pd.DataFrame(rows, columns=["field_name", "value", "stretch", "clean", "rest", "key"]).astype({"rest": "int32"})
 
-    @F.udf("array<string>")
-    def enter(term: str):
-        return sorted(deletes(term))
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f, r, t, key) for f, r, t in zip(batch["field_name"], batch["ref_id"], batch["term"], strict=True) for key in lookup_keys(t)]
+            yield pd.DataFrame(rows, columns=["field_name", "ref_id", "term", "key"]).astype({"ref_id": "int32"})
 
-    @F.udf("array<string>")
-    def bare(field: str, value: str):
-        return [w for w in _words(value) if w not in dressing.get(field, frozenset())]
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["cost"] = [cost(s, t, c, dressing.get(f, none)) for s, t, c, f in zip(batch["stretch"], batch["term"], batch["clean"], batch["field_name"], strict=True)]
+            kept = batch[batch["cost"].notna()]
+            yield kept.astype({"cost": "float64"})
 
-    @F.udf("double")
-    def cost(stretch: str, term: str, clean: bool, field: str):
-        d = distance(stretch, term, bound(term))
-        bad = d > bound(term) or (not clean and (d > 0 or len(term) < 3)) or (len(stretch) < 3 and d > 1.0) or (stretch in dressing.get(field, frozenset()) and d > 0)
-        return None if bad else d
+    def bare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left = [[w for w in _words(v) if w not in dressing.get(f, none)] for f, v in zip(batch["field_name"], batch["value"], strict=True)]
+            batch["word"] = pd.Series([w[0] if len(w) == 1 else None for w in left], index=batch.index, dtype=object)
+            yield batch[batch["word"].notna()]
 
-    stretches = distinct.select("field_name", "value", F.explode(cut("field_name", "value", "longest")).alias("w")).select("field_name", "value", "w.stretch", "w.clean", "w.rest", F.explode("w.keys").alias("key"))
-    entered = terms.select("field_name", "ref_id", F.array_join("parts", "").alias("term")).distinct()
-    entered = entered.select("field_name", "ref_id", "term", F.explode(enter("term")).alias("key"))
+    terms = terms.mapInPandas(part, "field_name string, ref_id int, spelling string, parts array<string>").filter(F.size("parts") > 0)
+    longest = terms.groupBy("field_name").agg(F.max(F.size("parts")).alias("longest"))
+    distinct = values.select("field_name", "value").distinct().join(small(longest), "field_name", "left").na.fill(1, ["longest"])
+    stretches = distinct.mapInPandas(cut, "field_name string, value string, stretch string, clean boolean, rest int, key string")
+    entered = terms.select("field_name", "ref_id", F.array_join("parts", "").alias("term")).distinct().mapInPandas(enter, "field_name string, ref_id int, term string, key string")
     pairs = stretches.join(entered, ["field_name", "key"]).select("field_name", "value", "stretch", "clean", "rest", "term", "ref_id").distinct()
-    ranked = pairs.withColumn("cost", cost("stretch", "term", "clean", "field_name")).filter(F.col("cost").isNotNull())
+    ranked = pairs.mapInPandas(weigh, "field_name string, value string, stretch string, clean boolean, rest int, term string, ref_id int, cost double")
     ranked = ranked.join(small(frequency.select(F.col("ref_id").cast("int").alias("ref_id"), "n")), "ref_id", "left")
     rank = F.struct(~F.col("clean"), F.col("cost"), -F.length("term"), F.col("rest"), -F.coalesce("n", F.lit(0)), F.col("ref_id"))
     best = ranked.groupBy("field_name", "value").agg(F.min_by("ref_id", rank).alias("ref_id"))
@@ -266,8 +287,7 @@ def _by_join(values: DataFrame, terms: DataFrame, frequency: DataFrame, key: str
         return small(one.filter(F.col(name) == F.col("other")).drop("other"))
 
     # What has no candidate may be the first word or the initials of an entry.
-    rest = distinct.join(best, ["field_name", "value"], "left_anti").withColumn("bare", bare("field_name", "value")).filter(F.size("bare") == 1)
-    rest = rest.select("field_name", "value", F.get("bare", F.lit(0)).alias("word"))
+    rest = distinct.join(best, ["field_name", "value"], "left_anti").select("field_name", "value").mapInPandas(bare, "field_name string, value string, word string")
     initials = F.array_join(F.transform("parts", lambda p: F.substring(p, 1, 1)), "")
     rest = rest.join(only(F.get("parts", F.lit(0)), 4, "leading"), ["field_name", "word"], "left").join(only(initials, 2, "acronym"), ["field_name", "word"], "left")
     fallback = rest.select("field_name", "value", F.coalesce("leading", "acronym").alias("ref_id")).filter("ref_id is not null")
