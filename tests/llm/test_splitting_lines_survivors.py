@@ -100,6 +100,16 @@ def test_one_site_alone_has_its_own_background(spark):
     assert {(r.ord, r.line_no) for r in got} == {(i, 1) for i in range(60)}
 
 
+def test_ratio_rejects_what_is_common_everywhere(spark):
+    """A phrase in 5 % of the records of every source is no site line, though one source has it in 20 of them."""
+    rows = [(i, "big", [f"line {i}" + ("\nfits true to size" if i % 20 == 0 else "") + ("\nbig's notice" if i % 20 == 1 else "")], "x", 1) for i in range(400)]
+    rows += [(1000 + i, f"s{i // 40}", [f"line {i}" + ("\nfits true to size" if i % 20 == 0 else "")], "x", 1) for i in range(2400)]
+    df = spark.createDataFrame(rows, LINES)
+    excess = sitelines.excess_lines(df).collect()
+    assert [(r.site, r.n) for r in excess] == [("big", 20)]
+    assert {r.ord for r in sitelines.repeated_occurrences(df).collect()} == {i for i in range(400) if i % 20 == 1}
+
+
 def test_instants(spark):
     same = ["2024-05-11T08:21:59+00:00", "2024-05-11T08:21:59Z", "2024-05-11 08:21:59", "2024-05-11T03:21:59-05:00", "2024/05/11 08:21:59", " 2024-05-11t08:21:59z", "2024-05-11T13:51:59+0530", "2024-05-11 08:21:59 UTC"]
     rows = spark.createDataFrame([(s,) for s in [*same, "", None, "soon"]], "s string").select(survivorship.instant(F.col("s")).alias("i")).collect()

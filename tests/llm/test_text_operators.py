@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ def test_values_mapped(spark, reference):
 
 def test_both_paths_on_fallbacks_and_ties(spark):
     """Acronyms, leading words, the reference frequency and words parted by dots, with the list broadcast and joined."""
-    entries = [(1, "Velo Trixon Nord"), (2, "Marrow Kite"), (3, "Marrow Gale"), (4, "Solenne Park"), (5, "Tarnak"), (6, "Tarnok"), (7, "Ori.Bel.Dun"), (8, "Velo Quist")]
+    entries = [(1, "Velo Trixon Nord"), (2, "Marrow Kite"), (3, "Marrow Gale"), (4, "Solenne Park"), (5, "Tarnak"), (6, "Tarnok"), (7, "Ori.Bel.Dun"), (8, "Velo Quist"), (9, "Q" * 50 + "x" * 60)]
     reference = spark.createDataFrame([(i, "brand", v, None) for i, v in entries], REF)
-    want = {"VTN": 1, "mk": 2, "Solenne": 4, "Marrow": 0, "Velo": 0, "Tarnek": 6, "Quist": 0, "o r i b e l d u n": 0, "Ori Bel Dun shoes": 7, "ob": 0}
+    want = {"VTN": 1, "mk": 2, "Solenne": 4, "Marrow": 0, "Velo": 0, "Tarnek": 6, "Quist": 0, "o r i b e l d u n": 0, "Ori Bel Dun shoes": 7, "ob": 0, "the " + "q" * 50 + "X" * 60: 9, "q" * 50 + "x" * 59: 0}
     values = [*want, *["Tarnok"] * 3, "Tarnak"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "ord int, brand string")
     for most in (50_000, 2):
@@ -152,26 +154,50 @@ def test_mentions_of_rows(spark):
 
 
 def test_poisson():
-    for mean, cap in ((0.3, 1), (1.5, 2), (3.0, 8), (0.01, 5)):
-        assert abs(mixture.capped_mean(mixture.poisson_rate(mean, cap), cap) - mean) < 1e-6
+    for rate, cap in ((0.3, 1), (1.5, 2), (3.0, 8), (900.0, 1000), (900.0, 5), (2.5e5, 10**12)):
+        first, cdf = mixture.poisson_steps(rate, cap)
+        assert first + len(cdf) <= cap and np.all(np.diff(cdf) >= 0) and len(cdf) < 30 * rate**0.5 + 100
+        if cap > 2 * rate + 5:
+            mean = first + (1 - cdf).sum()
+            assert abs(mean - rate) < 1e-4 * rate and cdf[-1] > 1 - 1e-6
+    assert abs(mixture.poisson_steps(3.0, 8)[1][2] - math.exp(-3) * (1 + 3 + 4.5)) < 1e-12
+
+
+def test_draw_meets_the_goal_within_a_document():
+    rng = random.Random(4)
+    for n, cap, part in ((3, 5, 0.5), (1, 3, 0.4), (40, 2, 0.7), (2000, 4, 0.33), (2000, 1, 0.5), (500, 1000, 0.9), (500, 10**9, 1e-6)):
+        held, biggest = np.zeros(mixture.GRID + 1, dtype=np.int64), 0
+        steps = [(rng.randrange(mixture.GRID), rng.randrange(20, 300)) for _ in range(n)]
+        for step, size in steps:
+            held[step + 1] += size
+            biggest = max(biggest, held[step + 1])
+        total = int(held.sum())
+        first, edges = mixture.solve(np.cumsum(held), cap, part * cap * total)
+        copies = [first + sum(s >= e for e in edges) for s, _ in steps]
+        assert max(copies) <= cap and abs(sum(c * t for c, (_, t) in zip(copies, steps, strict=True)) - part * cap * total) <= biggest
+    assert mixture.solve(np.zeros(mixture.GRID + 1, dtype=np.int64), 3, 5.0) == (0, [])
 
 
 def test_mixture(spark):
     rng = random.Random(2)
     docs = [(i, "abc"[min(2, i % 10 // 4)], " ".join(rng.choices(["shoe", "court", "grip", "lace"], k=rng.randrange(20, 60)))) for i in range(3000)]
-    docs += [(9000, "a", docs[0][2]), (9001, "a", None), (9002, "a", " "), (9003, None, "x"), (9004, "other", "x")]
+    docs += [(9000, "a", docs[0][2]), (9001, "a", None), (9002, "a", " "), (9003, None, "x"), (9004, "other", "x"), (9005, "d", "one small text " * 9), (9006, "d", "another small text " * 9)]
     d = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumn("copies", F.lit(1))
-    t = spark.createDataFrame([("a", 0.2, 1), ("b", 0.3, 2), ("c", 0.45, 4), ("empty", 0.05, 3)], "source string, target_share double, max_repeats int")
+    t = spark.createDataFrame([("a", 0.2, 1), ("b", 0.3, 2), ("c", 0.45, 4), ("empty", 0.05, 3), ("d", 0.001, 500), (None, 0.5, 1), ("unused", 0.1, 0)], "source string, target_share double, max_repeats int")
     mixed = mixture.mixture(d, t)
     rows = mixed.collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixture.mixture(d, t).collect()))
-    assert {r.source for r in rows} == {"a", "b", "c"} and 9000 not in {r.doc_id for r in rows if r.doc_id == 9000 and docs[0][1] == "a"}
-    shares = {r.source: r for r in mixture.report(mixed, t).collect()}
-    for s, want in (("a", 0.2), ("b", 0.3), ("c", 0.45)):
-        assert abs(shares[s].actual_share - want / 0.95) < 0.03 and shares[s].most_repeats <= shares[s].max_repeats
-    assert shares["empty"].mixed_tokens == 0
-    short = {r.source: r for r in mixture.report(mixture.mixture(d, t, total_tokens=1e9), t).collect()}
-    assert all(short[s].most_repeats == short[s].max_repeats for s in "abc")
+    assert {r.source for r in rows} == {"a", "b", "c", "d"} and not {r.doc_id for r in rows} & {9000, 9001, 9002, 9003, 9004}
+    assert all(r.text == dict((i, x) for i, _, x in docs)[r.doc_id] for r in rows[:300]) and len(set((r.doc_id, r.copy_no) for r in rows)) == len(rows)
+    got = {r.source: r for r in mixture.report(d, t).collect()}
+    assert {s: sum(r.n_tokens for r in rows if r.source == s) for s in "abcd"} == {s: got[s].mixed_tokens for s in "abcd"}
+    for s, want in (("a", 0.2), ("b", 0.3), ("c", 0.45), ("d", 0.001)):
+        assert abs(got[s].actual_share - want / 0.951) < 0.0005 and got[s].most_repeats <= got[s].max_repeats
+    assert got["empty"].mixed_tokens == 0 and got["unused"].mixed_tokens == 0
+    short = {r.source: r for r in mixture.report(d, t, total_tokens=1e9).collect()}
+    assert all(short[s].most_repeats == short[s].max_repeats for s in "abcd")
+    stock = {r.source: r for r in mixture.report(d, t, total_tokens="stock").collect()}
+    assert stock["a"].actual_share < 0.35 and stock["d"].most_repeats <= 500
     assert mixture.mixture(d.limit(0), t).count() == 0 and mixture.mixture(d, t.limit(0)).count() == 0
 
 
