@@ -119,7 +119,7 @@ def p9_report_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_target"), total_tokens="stock")
 
 
-def _public(spark: SparkSession, sf_dir: str) -> frozenset[str]:
+def _public(spark: SparkSession, sf_dir: str) -> frozenset[str] | DataFrame:
     return pii.public_names(_table(spark, sf_dir, "source_record").select("signature_player"), _table(spark, sf_dir, "ref_value").select("canonical_value"))
 
 

@@ -129,6 +129,10 @@ PRIVATE = [
     ("gartquist62 at quickpost dot test is quick; v35 @ inbox.brackwater.example too; +1-312-555-0165 ext. 93", {("email", "gartquist62 at quickpost dot test"), ("email", "v35 @ inbox.brackwater.example"), ("phone", "+1-312-555-0165 ext. 93")}),
     ("Refund went to Sra. Osseninga instead of me.\n- Hugo Taverncombe Heel to toe it rolls.", {("name", "Osseninga"), ("name", "Hugo Taverncombe")}),
     ("Marrick Sool told me. I saw Marrick Sool. Tickets for hoops@night 38, row 12@B. @court_rat42", set()),
+    ("I spoke with Maria Lopez about it. Contact: Dr. Jane Smith. Frau Meier-Schulz called.\nBest,\nJohn Carter", {("name", "Maria Lopez"), ("name", "Jane Smith"), ("name", "Meier-Schulz"), ("name", "John Carter")}),
+    ("IBAN DE89 3704 0044 0532 0130 00 please, card 4111 1111 1111 1111 or 12345678Z", {("id_number", "DE89 3704 0044 0532 0130 00"), ("id_number", "4111 1111 1111 1111"), ("id_number", "12345678Z")}),
+    ("not issued: 000-00-0000, 12345678A; card 4111-1111-1111-1112; Mark Trail of the shoe", {("name", "Mark Trail")}),
+    ("x " + "a" * 64 + "@" + "d" * 60 + "." + "e" * 60 + ".example", {("email", "a" * 64 + "@" + "d" * 60 + "." + "e" * 60 + ".example")}),
     ("Barcode 0410132784067. Order no. 20265204-8. Style code FZ6416-646. Batch 112.240.25. Sizes 7-13 drop on 2026-04-11. 8.9/10 at 18:56", set()),
     ("Meet at court 39, Riverside Drive entrance. The Main Street colourway sold out @ noon.", set()),
     ("", set()),
@@ -153,6 +157,19 @@ def test_mentions_of_rows(spark):
     assert pii.mentions(df.limit(0)).count() == 0
 
 
+def test_public_names_joined_beyond_the_bound(spark):
+    """More public names than may be broadcast are anti-joined, with the same mentions and texts."""
+    public = spark.createDataFrame([("Helen Hart",), ("Jonas  Loxmoor",), (None,), ("Third One",)], "p string")
+    texts = ["I met with Helen Hart and with Sofia Brand, mail a@b.example", "My name is Jonas Loxmoor.", None, "", "Dr. Ruth Heller, Dr. Ruth Heller"]
+    d = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts * 2)], "doc_id int, text string")
+    few, many = pii.public_names(public), pii.public_names(public, most=2)
+    assert isinstance(few, frozenset) and not isinstance(many, frozenset)
+    got = [sorted(map(tuple, pii.mentions(d, p).collect())) for p in (few, many)]
+    assert got[0] == got[1] and {k for _, k, *_ in got[0]} == {"name", "email"}
+    clean = [sorted(map(str, pii.redacted(d, p).collect())) for p in (few, many)]
+    assert clean[0] == clean[1] and any("Helen Hart and with [NAME]" in c for c in clean[0])
+
+
 def test_poisson():
     for rate, cap in ((0.3, 1), (1.5, 2), (3.0, 8), (900.0, 1000), (900.0, 5), (2.5e5, 10**12)):
         first, cdf = mixture.poisson_steps(rate, cap)
