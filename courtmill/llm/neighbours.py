@@ -1,17 +1,21 @@
 """Most similar vectors for every vector: shifted Hilbert orderings of projected vectors.
 
-Each of ``CURVES`` curves projects the unit vectors on ``DIMENSIONS`` random orthogonal axes, shifts the
-grid, and orders the vectors along a Hilbert curve. Vectors are range-partitioned along each curve into
-buckets of about ``BUCKET`` rows cut at approximate quantiles of all keys; the first rows of the next
-bucket come along as a halo, so that a bucket's end cuts no neighbourhood off. Within a bucket every vector
-is compared with the ``WINDOW`` vectors on either side, as products of small matrices of which only the
-best are kept; the curves' finds are merged and ranked by exact cosine similarity. A key so common that it spans several quantiles is spread over them by a hash of the
-id, so no bucket grows with the data.
+Each of ``CURVES`` curves projects the unit vectors on ``DIMENSIONS`` axes, shifts the grid, and orders the
+vectors along a Hilbert curve. The axes are random rotations within the ``SPREAD`` directions of greatest
+variance, which are fitted on at most about ``FIT_ROWS`` vectors of a space, chosen by a hash of the id;
+every vector is placed on every curve. Spark range-partitions and sorts the curves by key and id, so a key
+of any frequency is spread over partitions, and each partition is read as a stream: a vector is compared
+with the ``WINDOW`` vectors on either side of it, as products of small matrices, and no partition is ever
+held in memory. What travels along the curves is an id and one byte per number; each curve's best
+``k + SPARE`` finds are merged, and those are reranked by the exact cosine of the whole vectors, which are
+joined once. A partition's ends cut some windows off, at other places on every curve.
 
 Equal vectors of one model are first reduced to one (the smallest id), and their members are brought in
 afterwards from at most ``k + 1`` of the smallest ids of each group, so a group of any size stays linear.
-The only thing gathered on the driver are the quantiles: at most ``MOST_SPLITS`` numbers per model and
-curve.
+The only thing gathered on the driver are the axes: one row per space.
+
+The result is approximate. Recall against brute force stands in the README; ``exact_neighbours`` gives the
+exact answer for a stated set of queries by comparing it, in blocks, with all vectors.
 
 Defined results: null, empty and all-zero vectors and those with a null, infinite or NaN number take no
 part; vectors of another length count as another space; ties in similarity go to the smaller id; rows
@@ -27,16 +31,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CURVES = 10
-DIMENSIONS = 8
-BITS = 5
-WINDOW = 4_096
-BUCKET = 4_096
+from courtmill.session import checkpoint
+
+CURVES = 12
+DIMENSIONS = 6
+BITS = 6
+SPREAD = 16
+FIT_ROWS = 20_000
+WINDOW = 1_024
+SPARE = 2
+#: Rows compared with their windows at a time.
 ROWS_AT_ONCE = 512
-#: Quantiles per bucket; the halo is one of them.
-STEPS = 8
-MOST_SPLITS = 10_000
+QUERIES_AT_ONCE = 10_000
 K = 5
+#: Greatest error of a similarity of vectors in bytes, with room to spare.
+BYTE_ERROR = 0.02
+#: Places to which similarities are ranked: what differs less is a tie.
+PLACES = 9
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -67,24 +78,44 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(unit: np.ndarray, curves: int) -> np.ndarray:
-    """Keys of unit vectors on each curve, shape (rows, curves)."""
-    width = unit.shape[1]
-    dims = min(DIMENSIONS, width)
-    keys = np.empty((len(unit), curves), dtype=np.int64)
-    for c in range(curves):
-        rng = np.random.default_rng([c, width])
-        axes = np.linalg.qr(rng.normal(size=(width, width)))[0][:, :dims]
-        place = (unit @ axes) * np.sqrt(width) + rng.uniform(-0.4, 0.4, size=dims)
-        cells = np.clip((place + 3.0) / 6.0 * (1 << BITS), 0, (1 << BITS) - 1)
-        keys[:, c] = hilbert_keys(cells, BITS)
-    return keys
+class Axes:
+    """Mean, directions of greatest variance and their variances, of one space."""
+
+    def __init__(self, unit: np.ndarray):
+        width = unit.shape[1]
+        self.mean = unit.mean(axis=0)
+        _, values, directions = np.linalg.svd(unit - self.mean, full_matrices=False)
+        if len(directions) < min(SPREAD, width):  # fewer vectors than directions: any axes will do
+            values, directions = np.ones(width), np.eye(width)
+        self.directions = directions[:SPREAD]
+        self.variance = np.maximum((values**2 / len(unit))[:SPREAD], 1e-12)
+
+    def keys(self, unit: np.ndarray, curve: int) -> np.ndarray:
+        """The vectors' keys on a curve."""
+        spread = len(self.directions)
+        dims = min(DIMENSIONS, spread)
+        rng = np.random.default_rng([curve, spread])
+        turn = np.linalg.qr(rng.normal(size=(spread, spread)))[0][:, :dims]
+        place = (unit - self.mean) @ (self.directions.T @ turn) / np.sqrt((turn**2).T @ self.variance) + rng.uniform(-0.4, 0.4, size=dims)
+        return hilbert_keys(np.clip((place + 3.0) / 6.0 * (1 << BITS), 0, (1 << BITS) - 1), BITS)
+
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    """Vectors of one length scaled to length 1."""
+    whole = np.stack(vectors.to_numpy()).astype(np.float64)
+    return whole / np.linalg.norm(whole, axis=1, keepdims=True)
 
-def _by_width(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    for width, part in batch.groupby(batch["v"].map(len), sort=False):
-        vectors = np.stack(part["v"].to_numpy()).astype(np.float64) if width else np.empty((len(part), 0))
-        yield part, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+def to_bytes(unit: np.ndarray) -> list[bytes]:
+    """Each vector as its greatest absolute number (4 bytes) and one signed byte per number."""
+    scale = np.abs(unit).max(axis=1, keepdims=True).astype(np.float32)
+    packed = np.concatenate([scale.view(np.int8), np.rint(unit / scale * 127).astype(np.int8)], axis=1)
+    return [row.tobytes() for row in packed]
+
+
+def of_bytes(codes: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(codes), dtype=np.int8).reshape(len(codes), -1)
+    return packed[:, 4:].astype(np.float32) * (packed[:, :4].copy().view(np.float32) / np.float32(127))
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -93,82 +124,131 @@ def usable(embeddings: DataFrame) -> DataFrame:
     kept = embeddings.filter(F.col("id").isNotNull() & (F.size("vector") > 0) & fine)
     space = F.concat_ws("\u0001", F.coalesce("model_id", F.lit("\u0000")), F.size("vector").cast("string"))
     vector = F.transform("vector", lambda x: x.cast("float") + F.lit(0.0).cast("float"))  # -0.0 equals 0.0
-    rows = kept.select("id", space.alias("space"), vector.alias("v")).dropDuplicates(["id"])
+    rows = kept.select("id", space.alias("space"), vector.alias("v"))
+    if not embeddings.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["id"])
     return rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("copy"), F.reverse("v"))})
 
 
-def _splits(reps: DataFrame, curves: int) -> dict[tuple[str, int], np.ndarray]:
-    """Ascending quantiles of the keys, by space and curve; bounded by MOST_SPLITS each."""
+def fitted(reps: DataFrame) -> dict[str, tuple[int, Axes]]:
+    """The axes of each space and its number; a task fits at most about FIT_ROWS vectors."""
+    sizes = reps.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    chance = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = reps.join(F.broadcast(sizes), "space").filter(chance * F.col("n") < FIT_ROWS).select("space", "id", "v")  # sizes has a row per space
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part, unit in _by_width(batch):
-                yield pd.DataFrame({"space": part["space"].to_numpy(), "keys": list(curve_keys(unit, curves))})
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        axes = Axes(_units(frame.sort_values("id")["v"]))
+        return pd.DataFrame({"space": [frame["space"].iloc[0]], "mean": [axes.mean], "directions": [axes.directions.ravel()], "variance": [axes.variance]})
 
-    keys = reps.select("space", "v").mapInPandas(run, "space string, keys array<bigint>").select("space", F.posexplode("keys").alias("curve", "key"))
-    sizes = keys.groupBy("space", "curve").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("key", [i / MOST_SPLITS for i in range(1, MOST_SPLITS)], MOST_SPLITS).alias("q"))
-    steps = F.greatest(F.lit(1), F.least(F.lit(MOST_SPLITS), F.ceil(F.col("n") * STEPS / BUCKET))).cast("int")
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(steps - 1, F.lit(1))), lambda i: F.element_at("q", F.greatest(F.lit(1), (i * MOST_SPLITS / steps).cast("int"))))
-    rows = sizes.select("space", "curve", F.when(steps > 1, cut).otherwise(F.slice("q", 1, 0)).alias("cut")).collect()
-    return {(r.space, r.curve): np.array(r.cut, dtype=np.int64) for r in rows}
+    rows = sample.groupBy("space").applyInPandas(fit, "space string, mean array<double>, directions array<double>, variance array<double>").collect()
+    missing = {r.space for r in sizes.collect()} - {r.space for r in rows}
+    out: dict[str, Axes] = {}
+    for r in rows:
+        axes = Axes.__new__(Axes)
+        axes.mean, axes.variance = np.array(r["mean"]), np.array(r.variance)
+        axes.directions = np.array(r.directions).reshape(-1, len(axes.mean))
+        out[r.space] = axes
+    for space in missing:  # the hash chose no vector of a tiny space
+        out[space] = Axes(np.eye(int(space.rsplit("\u0001", 1)[1])))
+    return {s: (i, out[s]) for i, s in enumerate(sorted(out))}
 
 
-def group_neighbours(reps: DataFrame, k: int, curves: int, window: int, min_similarity: float | None) -> DataFrame:
-    """(space, a, b, similarity): for each vector up to ``k`` of its nearest ones, found on the curves."""
-    splits = reps.sparkSession.sparkContext.broadcast(_splits(reps, curves))
-    floor = -2.0 if min_similarity is None else min_similarity
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(curve, ids, vectors) of runs of rows on one curve, in order."""
+    for batch in batches:
+        curve = batch["curve"].to_numpy()
+        edges = np.flatnonzero(np.diff(curve)) + 1
+        for low, high in zip([0, *edges], [*edges, len(batch)], strict=True):
+            if high > low:
+                yield int(curve[low]), batch["id"].to_numpy()[low:high], of_bytes(batch["code"].iloc[low:high].tolist())
+
+
+def _best(score: np.ndarray, keep: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's ``keep`` greatest scores that are at least ``floor``."""
+    good = score >= floor
+    crowded = np.flatnonzero(good.sum(axis=1) > keep)
+    if len(crowded):
+        part = score[crowded]
+        at = np.argpartition(-part, keep - 1, axis=1)[:, :keep]
+        only = np.zeros(part.shape, dtype=bool)
+        np.put_along_axis(only, at, True, axis=1)
+        good[crowded] &= only
+    return np.nonzero(good)
+
+
+def _along(batches: Iterator[pd.DataFrame], window: int, keep: int, floor: float) -> Iterator[pd.DataFrame]:
+    """Finds (a, b, near) of a partition sorted along its curves; holds a window's rows only."""
+    curve, ids, vectors, start = -1, np.empty(0, np.int64), np.empty((0, 0), np.float32), 0
+
+    def compare(low: int, high: int) -> pd.DataFrame:
+        left, right = max(0, low - window), min(len(ids), high + window)
+        score = vectors[low:high] @ vectors[left:right].T
+        score[np.arange(high - low), np.arange(low - left, high - left)] = -9.0
+        row, column = _best(score, keep, max(floor, -2.0))
+        return pd.DataFrame({"a": ids[low:high][row], "b": ids[left:right][column], "near": score[row, column]})
+
+    def rest() -> Iterator[pd.DataFrame]:
+        for low in range(start, len(ids), ROWS_AT_ONCE):
+            yield compare(low, min(len(ids), low + ROWS_AT_ONCE))
+
+    for now, more_ids, more in _stretches(batches):
+        if now != curve:
+            yield from rest()
+            curve, ids, vectors, start = now, more_ids, more, 0
+        else:
+            ids, vectors = np.concatenate([ids, more_ids]), np.concatenate([vectors, more])
+        while len(ids) - start >= ROWS_AT_ONCE + window:
+            yield compare(start, start + ROWS_AT_ONCE)
+            start += ROWS_AT_ONCE
+        past = max(0, start - window)
+        ids, vectors, start = ids[past:], vectors[past:], start - past
+    yield from rest()
+
+
+def on_curves(reps: DataFrame, curves: int) -> DataFrame:
+    """(curve, k, id, code): every vector on every curve; ``curve`` numbers the curves of all spaces."""
+    axes = reps.sparkSession.sparkContext.broadcast(fitted(reps))  # a row per space
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, unit in _by_width(batch):
-                keys, ids, spaces = curve_keys(unit, curves), part["id"].to_numpy(), part["space"].to_numpy()
-                spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                for space in pd.unique(spaces):
-                    mine = np.flatnonzero(spaces == space)
-                    for c in range(curves):
-                        cut, key = splits.value.get((space, c), np.empty(0, np.int64)), keys[mine, c]
-                        low, high = np.searchsorted(cut, key, "left"), np.searchsorted(cut, key, "right")
-                        step = low + (spread[mine] % (high - low + 1).astype(np.uint64)).astype(np.int64)
-                        bucket, halo = step // STEPS, np.flatnonzero((step % STEPS == 0) & (step > 0))
-                        rows = np.concatenate([mine, mine[halo]])
-                        yield pd.DataFrame(
-                            {
-                                "space": space,
-                                "curve": np.full(len(rows), c, dtype="int32"),
-                                "bucket": np.concatenate([bucket, bucket[halo] - 1]).astype("int32"),
-                                "step": np.concatenate([step, step[halo]]).astype("int32"),
-                                "k": np.concatenate([key, key[halo]]),
-                                "id": ids[rows],
-                                "v": list(unit[rows].astype(np.float32)),
-                            }
-                        )
-
-    def near(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["step", "k", "id"], kind="stable")
-        ids, unit = frame["id"].to_numpy(), np.stack(frame["v"].to_numpy())
-        n = len(ids)
-        best = max(1, min(k, n - 1))
-        firsts, seconds = [], []
-        for low in range(0, n, ROWS_AT_ONCE):  # each stretch of the curve against its neighbourhood
-            high = min(n, low + ROWS_AT_ONCE)
-            left, right = max(0, low - window), min(n, high + window)
-            score = unit[low:high] @ unit[left:right].T
-            mine = np.arange(low, high)
-            score[mine - low, mine - left] = -3.0
-            at = np.argpartition(-score, best - 1, axis=1)[:, :best] if score.shape[1] > best else np.broadcast_to(np.arange(score.shape[1]), (high - low, score.shape[1]))
-            good = np.take_along_axis(score, at, 1) >= max(floor - 1e-4, -2.0)
-            firsts.append(np.broadcast_to(mine[:, None], at.shape)[good])
-            seconds.append((at + left)[good])
-        a, b = np.concatenate(firsts), np.concatenate(seconds)
-        exact = np.einsum("ij,ij->i", unit[a].astype(np.float64), unit[b].astype(np.float64))
-        out = pd.DataFrame({"space": frame["space"].iloc[0], "a": ids[a], "b": ids[b], "similarity": exact})
-        return out[(out["similarity"] >= floor - 1e-7) & (out["a"] != out["b"])]
-
-    placed = reps.select("id", "space", "v").mapInPandas(place, "space string, curve int, bucket int, step int, k bigint, id bigint, v array<float>")
-    pairs = placed.groupBy("space", "curve", "bucket").applyInPandas(near, "space string, a bigint, b bigint, similarity double")
-    merged = pairs.groupBy("space", "a", "b").agg(F.max("similarity").alias("similarity"))
-    order = Window.partitionBy("space", "a").orderBy(F.desc("similarity"), "b")
-    return merged.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).drop("rn")
+            for space, part in batch.groupby("space", sort=False):
+                number, fit = axes.value[space]
+                unit, ids = _units(part["v"]), part["id"].to_numpy()
+                codes = to_bytes(unit)
+                for c in range(curves):
+                    yield pd.DataFrame({"curve": np.full(len(ids), number * curves + c, dtype="int32"), "k": fit.keys(unit, c), "id": ids, "code": codes})
+
+    return reps.select("id", "space", "v").mapInPandas(place, "curve int, k bigint, id bigint, code binary")
+
+
+def exact_similarity(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, similarity) of (a, b), by the whole vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby(batch["va"].map(len), sort=False):
+                similarity = np.round(np.einsum("ij,ij->i", _units(part["va"]), _units(part["vb"])), PLACES)
+                yield pd.DataFrame({"a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "similarity": similarity})
+
+    of_a, of_b = (reps.select(F.col("id").alias(x), F.col("v").alias(f"v{x}")) for x in ("a", "b"))
+    return pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "va", "vb").mapInPandas(run, "a bigint, b bigint, similarity double")
+
+
+def _top(pairs: DataFrame, k: int, by: str) -> DataFrame:
+    order = Window.partitionBy("a").orderBy(F.desc(by), "b")
+    return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).drop("rn")
+
+
+def group_neighbours(reps: DataFrame, k: int, curves: int, window: int, min_similarity: float | None) -> DataFrame:
+    """(a, b, similarity): for each vector up to ``k`` of its nearest ones, found on the curves."""
+    floor = -2.0 if min_similarity is None else min_similarity - BYTE_ERROR
+    keep = k + SPARE
+    ordered = on_curves(reps, curves).repartitionByRange("curve", "k", "id").sortWithinPartitions("curve", "k", "id")
+    finds = ordered.select("curve", "id", "code").mapInPandas(lambda batches: _along(batches, window, keep, floor), "a bigint, b bigint, near float")
+    merged = _top(finds.groupBy("a", "b").agg(F.max("near").alias("near")), keep, "near")
+    exact = exact_similarity(merged, reps)
+    fine = exact if min_similarity is None else exact.filter(F.col("similarity") >= min_similarity - 1e-9)
+    return _top(fine, k, "similarity")
 
 
 def neighbours(embeddings: DataFrame, k: int = K, min_similarity: float | None = None, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
@@ -179,8 +259,8 @@ def neighbours(embeddings: DataFrame, k: int = K, min_similarity: float | None =
     rows = usable(embeddings)
     key = ["space", "h1", "h2"]
     order = Window.partitionBy(*key).orderBy("id")
-    heads = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1)
-    reps = heads.filter("rn = 1").select("id", "space", "v", "h1", "h2")
+    heads = checkpoint(rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1))  # each vector about once; read four times
+    reps = heads.filter("rn = 1").select("id", "space", "v")
     group = heads.groupBy(*key).agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("members"))  # at most k + 1 members
     copied = group.filter(F.size("members") > 1)
     # Copies: each member with the smallest other ids of its group.
@@ -201,3 +281,37 @@ def close_pairs(embeddings: DataFrame, k: int = K, min_similarity: float = 0.9)
     """(id_a, id_b), id_a < id_b: pairs at least that similar of which one is among the other's ``k`` nearest."""
     found = neighbours(embeddings, k, min_similarity)
     return found.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+
+
+def exact_neighbours(queries: DataFrame, embeddings: DataFrame, k: int = K, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
+    """(id, neighbour_id, similarity, rank) of the stated ``queries`` (id) by comparison with all vectors.
+
+    The queries go out in blocks of ``at_once``; each partition of the vectors keeps ``k`` finds a query.
+    """
+    rows = usable(embeddings).select("id", "space", "v")
+    asked = rows.join(queries.select("id").distinct(), "id", "left_semi")
+    numbered = checkpoint(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(-(-asked.count() // at_once) or 1)).cast("int")))
+    spark, found = embeddings.sparkSession, None
+    for block in sorted(r.block for r in numbered.select("block").distinct().collect()):
+        frame = numbered.filter(F.col("block") == block).select("id", "space", "v").toPandas()  # about `at_once` rows
+        sought = spark.sparkContext.broadcast({s: (p["id"].to_numpy(), _units(p["v"])) for s, p in frame.groupby("space")})
+
+        def run(batches: Iterator[pd.DataFrame], sought=sought) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for space, part in batch.groupby("space", sort=False):
+                    if space in sought.value:
+                        ids, unit = sought.value[space]
+                        score = np.round(unit @ _units(part["v"]).T, PLACES)
+                        mine = part["id"].to_numpy()
+                        score[ids[:, None] == mine[None, :]] = -9.0
+                        order = np.lexsort((np.broadcast_to(mine, score.shape), -score), axis=1)[:, :k]
+                        row, column = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
+                        fine = score[row, column] > -9.0
+                        yield pd.DataFrame({"a": ids[row], "b": mine[column], "similarity": score[row, column]})[fine]
+
+        part = _top(rows.mapInPandas(run, "a bigint, b bigint, similarity double"), k, "similarity")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "id bigint, neighbour_id bigint, similarity double, rank int")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    return found.select(F.col("a").alias("id"), F.col("b").alias("neighbour_id"), "similarity", rank.alias("rank"))

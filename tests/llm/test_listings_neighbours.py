@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from courtmill.llm import listings, neighbours
@@ -102,3 +103,47 @@ def test_heavy_keys_are_spread(spark):
     rows = [(i, "m", [float(x) for x in np.ones(16) + rng.normal(size=16) * 1e-3]) for i in range(6000)]
     near = neighbours.neighbours(spark.createDataFrame(rows, VECTOR), min_similarity=0.9)
     assert near.groupBy("id").count().filter("count = 5").count() == 6000
+
+
+def test_stream_keeps_every_window():
+    """Batches of any size give the same finds as whole curves, each vector against its window on both sides."""
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(3000, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    frame = pd.DataFrame({"curve": np.sort(rng.integers(0, 3, 3000)), "id": np.arange(3000), "code": neighbours.to_bytes(unit)})
+    decoded = neighbours.of_bytes(frame["code"].tolist())
+    assert np.abs((decoded @ decoded.T) - unit @ unit.T).max() < neighbours.BYTE_ERROR
+    want = set()
+    for i in range(3000):
+        near = [j for j in range(max(0, i - 40), min(3000, i + 41)) if j != i and frame["curve"][i] == frame["curve"][j] and decoded[i] @ decoded[j] >= 0.8]
+        want |= {(i, j) for j in near}
+    for size in (1, 700, 3000):
+        parts = iter([frame.iloc[i : i + size] for i in range(0, 3000, size)] if size > 1 else [frame.iloc[:0], frame])
+        old, neighbours.ROWS_AT_ONCE = neighbours.ROWS_AT_ONCE, 128
+        try:
+            rows = pd.concat(list(neighbours._along(parts, 40, 200, 0.8)))
+        finally:
+            neighbours.ROWS_AT_ONCE = old
+        got = set(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True))
+        assert len(got) == len(rows) and len(got & want) / len(want) == 1.0
+        assert all(neighbours.ROWS_AT_ONCE >= abs(i - j) - 40 for i, j in got)
+
+
+def test_exact_queries_and_recall(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(150, 32))
+    rows = [(i, "ab"[i % 2], [float(x) for x in centre[i % 150] + rng.normal(size=32) * 0.4]) for i in range(4000)]
+    df = spark.createDataFrame(rows, VECTOR)
+    asked = df.filter("id % 20 = 0").select("id")
+    exact = {(r.id, r.rank): r.neighbour_id for r in neighbours.exact_neighbours(asked, df, at_once=60).collect()}
+    unit = np.stack([np.array(v, dtype="f4").astype("f8") for _, _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for i in range(0, 4000, 20):
+        s = np.round(unit @ unit[i], 9)
+        s[i] = -9
+        s[(i + 1) % 2 :: 2] = -9
+        assert [exact[i, r] for r in range(1, 6)] == np.lexsort((np.arange(4000), -s))[:5].tolist()
+    found = {(r.id, r.neighbour_id) for r in neighbours.neighbours(df).collect()}
+    want = {(i, n) for (i, _), n in exact.items()}
+    assert len(want & found) / len(want) >= 0.9
+    assert neighbours.exact_neighbours(asked.limit(0), df).count() == 0
