@@ -6,7 +6,7 @@ variance, which are fitted on at most about ``FIT_ROWS`` vectors of a space, cho
 every vector is placed on every curve. Spark range-partitions and sorts the curves by key and id, so a key
 of any frequency is spread over partitions, and each partition is read as a stream: a vector is compared
 with the ``WINDOW`` vectors on either side of it, as products of small matrices, and no partition is ever
-held in memory. What travels along the curves is an id and one byte per number; each curve's best
+held in memory. What travels along the curves is an id and two bytes per number; each curve's best
 ``k + SPARE`` finds are merged, and those are reranked by the exact cosine of the whole vectors, which are
 joined once. A partition's ends cut some windows off, at other places on every curve.
 
@@ -44,8 +44,8 @@ SPARE = 2
 ROWS_AT_ONCE = 512
 QUERIES_AT_ONCE = 10_000
 K = 5
-#: Greatest error of a similarity of vectors in bytes, with room to spare.
-BYTE_ERROR = 0.02
+#: Greatest error of a similarity of vectors in two bytes a number, with room to spare.
+BYTE_ERROR = 0.001
 #: Places to which similarities are ranked: what differs less is a tie.
 PLACES = 9
 
@@ -107,15 +107,15 @@ def _units(vectors: pd.Series) -> np.ndarray:
 
 
 def to_bytes(unit: np.ndarray) -> list[bytes]:
-    """Each vector as its greatest absolute number (4 bytes) and one signed byte per number."""
+    """Each vector as its greatest absolute number (4 bytes) and two signed bytes per number."""
     scale = np.abs(unit).max(axis=1, keepdims=True).astype(np.float32)
-    packed = np.concatenate([scale.view(np.int8), np.rint(unit / scale * 127).astype(np.int8)], axis=1)
+    packed = np.concatenate([scale.view(np.int16), np.rint(unit / scale * 32767).astype(np.int16)], axis=1)
     return [row.tobytes() for row in packed]
 
 
 def of_bytes(codes: list[bytes]) -> np.ndarray:
-    packed = np.frombuffer(b"".join(codes), dtype=np.int8).reshape(len(codes), -1)
-    return packed[:, 4:].astype(np.float32) * (packed[:, :4].copy().view(np.float32) / np.float32(127))
+    packed = np.frombuffer(b"".join(codes), dtype=np.int16).reshape(len(codes), -1)
+    return packed[:, 2:].astype(np.float32) * (packed[:, :2].copy().view(np.float32) / np.float32(32767))
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
