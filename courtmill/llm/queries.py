@@ -28,7 +28,7 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each page's main body."""
-    return boilerplate.body_lines(_table(spark, sf_dir, "fetch_result")).select("page_id", "line_no")
+    return boilerplate.body_lines(_table(spark, sf_dir, "fetch_result"), with_text=False).select("page_id", "line_no")
 
 
 def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,7 +230,7 @@ def page(i: int, host: str) -> tuple:
 KIND = "page_id bigint, source string, url string, status int, text string, fetched_at string, from_cache boolean"
 
 
-def test_page_bodies(spark):
+def test_page_bodies(spark, monkeypatch):
     rows = [page(i, "one.example") for i in range(40)]
     again = [(100 + i, *rows[i][1:]) for i in range(20)]  # fetched again: no evidence of boilerplate
     odd = [(900, "one.example", None, 200, None, None, None), (901, "one.example", "u", 404, "gone", None, None), (902, None, None, 200, " \n", None, None), (903, "x.example", "https://x.example/", None, "<html><head><title>t</title></head><body><p></p></body></html>", None, None)]
@@ -244,6 +244,21 @@ def test_page_bodies(spark):
     text = {r.page_id: r.text for r in boilerplate.main_text(df).collect()}
     assert text[3].startswith("Zed Model 3 review\nTraction\n") and "Welcome" not in text[3]
     assert boilerplate.body_lines(df.limit(0)).count() == 0
+    # Runs too many to send to all, and hosts of several blocks: the same rows.
+    want = sorted(map(tuple, boilerplate.body_lines(df).collect()))
+    assert sorted(map(tuple, boilerplate.body_lines(df, broadcast_runs=1).collect())) == want
+    monkeypatch.setattr(boilerplate, "BLOCK_PAGES", 10)
+    assert sorted(map(tuple, boilerplate.body_lines(df, broadcast_runs=1).collect())) == want
+    # Neither the url nor the host's name decides.
+    nameless = df.withColumn("url", F.xxhash64("url").cast("string"))
+    assert sorted(map(tuple, boilerplate.body_lines(nameless).collect())) == want
+
+
+def test_markup_is_told_anywhere():
+    for start in (" " * 300, "<?xml version='1.0'?>\n", "<!-- note -->\n", ""):
+        shown = boilerplate.visible(start + "<div>\n<head><title>x</title>\n</head>\n<table><tr><th>Cut</th><td>mid</td></tr>\n<p>a &amp; b</p></div>")
+        assert [s for s in shown if s] == ["Cut: mid", "a & b"]
+    assert boilerplate.visible("a < b\n3 > 2 &lt; 5") == ["a < b", "3 > 2 < 5"]
 
 
 def test_runs_counted_over_all_blocks(spark, monkeypatch):
@@ -261,7 +276,8 @@ def test_runs_counted_over_all_blocks(spark, monkeypatch):
     for pages, chars in ((256, 4_000_000), (10, 4_000_000), (256, 2_500)):
         monkeypatch.setattr(boilerplate, "BLOCK_PAGES", pages)
         monkeypatch.setattr(boilerplate, "BLOCK_CHARS", chars)
-        assert [(r.source, set(r.runs)) for r in boilerplate.repeated_runs(df).collect()] == [("h", want)]
+        found = boilerplate.repeated_runs(boilerplate.in_blocks(df)).collect()
+        assert {(r.source, r.run) for r in found} == {("h", w) for w in want} and len(found) == len(want)
 
 
 def test_suffix_array_against_brute_force():
