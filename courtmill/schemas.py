@@ -40,6 +40,7 @@ CHUNK_INDEX = ("id bigint, shoe_id bigint, content string, source string, model_
 #: The generic structure of a page.
 EXTRACT = (
     "struct<h1:string,title:string,og_image:string,text:string,json_ld:array<string>,links:array<struct<href:string,text:string,path:string>>,"
-    "headings:array<struct<level:int,text:string,body:array<string>,items:array<string>>>,tables:array<array<array<string>>>,"
+    "headings:array<struct<level:int,text:string,body:array<string>,items:array<string>,prose:array<string>,section:array<string>>>,"
+    "tables:array<array<array<string>>>,table_heads:array<string>,labelled:array<struct<label:string,mark:string,values:array<string>,lasts:array<string>>>,"
     "facts:map<string,string>,images:array<string>,listed:array<struct<href:string,text:string,classes:array<string>>>>"
 )
