@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtmill.operators import upsert
+
 WINDOW = "1 hour"
 LATE = "10 minutes"
 
@@ -46,3 +48,21 @@ def windowed_stream(stream: DataFrame, width: str = WINDOW, late: str = LATE) ->
 def upserting(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """A query that hands each micro-batch to ``apply``, such as an upsert; exactly once per batch id."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def catalog_stream(stream: DataFrame, folder: str, checkpoint: str, now: Column, key: str = "ord"):
+    """Each micro-batch of canonical shoes becomes the next snapshot of the catalogue under ``folder``.
+
+    ``stream`` has the catalogue's columns without ids and times, and ``key``, by which the last row of an id
+    within a batch stands. Shoes that a batch lacks stay: a stream brings changes, not the whole catalogue.
+    The first snapshot, version 0, must exist.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        existing = batch.sparkSession.read.parquet(f"{folder}/version={number}")
+        columns = [c for c in existing.columns if c not in ("id", "created_at", "updated_at")]
+        last = batch.groupBy("canonical_id").agg(F.max_by(F.struct(*[c for c in columns if c != "canonical_id"]), key).alias("r")).select("canonical_id", "r.*")
+        kept = existing.filter(F.col("canonical_id").isNotNull()).join(last.select("canonical_id"), "canonical_id", "left_anti")
+        upsert.upsert_batch({"catalog": folder}, kept.select(*columns).unionByName(last.select(*columns)), now, number + 1)
+
+    return upserting(stream, apply, checkpoint)
