@@ -6,22 +6,33 @@ import hashlib
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def request_seed(**fields: Column) -> Column:
-    """An unsigned 64-bit seed, as text, of a request's fields in alphabetical order; nulls count."""
-    body = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
-    return F.conv(F.substring(F.sha2(body, 256), 1, 16), 16, 10)
+#: The fields of a request that its seed is made of.
+SEED_FIELDS = ("aesthetic", "brand", "budget", "cut", "outdoor", "playstyle", "playstyle_tag", "position", "width")
 
 
 def seed_of(request: dict) -> int:
-    """The same seed on the driver."""
-    text = json.dumps(request, sort_keys=True, separators=(",", ":"), default=str)
+    """An unsigned 64-bit seed of a request's fields: compact JSON in ASCII with sorted keys, hashed; nulls count."""
+    text = json.dumps(request, sort_keys=True, separators=(",", ":"))
     return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
 
 
+def request_seed(**fields: Column) -> Column:
+    """The seed of a row's fields, as text. Requests are few, so the JSON is written as Python does."""
+    names = sorted(fields)
+
+    @F.pandas_udf("string")
+    def seeds(rows: pd.DataFrame) -> pd.Series:
+        plain = rows.astype(object).where(rows.notna(), None).to_dict("records")
+        return pd.Series([str(seed_of(r)) for r in plain])
+
+    return seeds(F.struct(*[fields[n].alias(n) for n in names]))
+
+
 def primary_key(similarity: Column, overlap: Column) -> Column:
     """What candidates are ranked by: similarity to four places, else overlap, else 0."""
     return F.coalesce(F.bround(similarity, 4), overlap.cast("double"), F.lit(0.0))

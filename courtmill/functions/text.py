@@ -7,8 +7,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtmill.session import named
-
 #: Patterns of advertising sentences, removed in this order.
 ADVERTISING = (
     r"(?is)(?:some|the) links? (?:on|in) this (?:page|post|article).{0,300}",
@@ -165,5 +163,21 @@ def prompt_block(position: Column, brand: Column, name: Column, price: Column, s
     )
 
 
-def struct_field(struct: str, field: str) -> Column:
-    return named(struct)[field]
+def user_prompt(playstyle: Column, aesthetic: Column, blocks: Column) -> Column:
+    """The whole prompt: the shopper's profile, the candidates' evidence, and what is to be made of it."""
+    said = lambda c: F.coalesce(F.nullif(trimmed(c), F.lit("")), F.lit("(not provided)"))
+    return F.concat_ws(
+        "\n",
+        F.lit("Shopper profile:"),
+        F.concat(F.lit("- Playstyle: "), said(playstyle)),
+        F.concat(F.lit("- Aesthetic: "), said(aesthetic)),
+        F.lit("\nCandidates (explain each in order):\n"),
+        blocks,
+        F.lit("Produce one recommendation card per candidate in the same order."),
+    )
+
+
+def request_words(position: Column, styles: Column, free_text: Column) -> Column:
+    """The words of a request from what an intake form holds: position, list of styles, free text."""
+    parts = [position, F.array_join(styles, ", "), trimmed(free_text)]
+    return F.concat_ws(" — ", *[F.nullif(p, F.lit("")) for p in parts])

@@ -88,16 +88,16 @@ def of_ids(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     return catalog.join(ids.toDF("id").distinct(), "id", "left_semi")
 
 
-def summary(catalog: DataFrame) -> DataFrame:
-    """The columns of a list of shoes."""
+def summary(catalog: DataFrame, *more: str) -> DataFrame:
+    """The columns of a list of shoes, and ``more`` of the catalogue's own."""
     lifted = [F.col(f"specs.{f}").alias(f) for f in ("version", "release_year", "cut_height", "width_fit", "cushioning_tech", "outdoor_suitability", "weight_oz")]
     tags = [F.coalesce(f"specs.{t}", F.array().cast("array<string>")).alias(t) for t in ("position_tags", "playstyle_tags")]
-    return catalog.select("id", "canonical_id", "brand", "name", F.col("price").cast("double").alias("price"), "currency", "image_url", "affiliate_url", *lifted, *tags)
+    return catalog.select("id", "canonical_id", "brand", "name", F.col("price").cast("double").alias("price"), "currency", "image_url", "affiliate_url", *lifted, *tags, *more)
 
 
 def detail(catalog: DataFrame) -> DataFrame:
     """A shoe with all it has."""
-    return summary(catalog).join(catalog.select("id", "specs", "extra_metadata", "source_url", "created_at", "updated_at"), "id")
+    return summary(catalog, "specs", "extra_metadata", "source_url", "created_at", "updated_at")
 
 
 def catalog_columns(canonical: DataFrame, currency: str = "USD") -> DataFrame:

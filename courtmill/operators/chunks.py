@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtmill.functions import text
+from courtmill.sources import models
 
 
 def summaries(catalog: DataFrame) -> DataFrame:
@@ -77,16 +78,12 @@ def counters(synced: DataFrame) -> DataFrame:
     )
 
 
-def embedded(new_rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model_id: str, now: Column, batch: int = 100) -> DataFrame:
-    """New index rows: ``embedder`` turns at most ``batch`` texts into vectors at a time, in their order."""
+def embedded(new_rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model_id: str, now: Column) -> DataFrame:
+    """New index rows: ``embedder`` turns at most ``models.BATCH`` texts into vectors at a time, in their order."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
-            contents = frame["content"].tolist()
-            vectors = [v for i in range(0, len(contents), batch) for v in embedder(contents[i : i + batch])]
-            if len(vectors) != len(contents):
-                raise ValueError(f"{len(contents)} texts gave {len(vectors)} vectors")
-            frame["vector"] = vectors
+            frame["vector"] = models.embedded(embedder, frame["content"].tolist())
             yield frame
 
     rows = new_rows.select("shoe_id", "content", "source").mapInPandas(run, "shoe_id bigint, content string, source string, vector array<float>")

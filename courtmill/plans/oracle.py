@@ -5,7 +5,7 @@ from __future__ import annotations
 from courtmill.functions import naming, text, vocab
 from courtmill.operators import report
 from courtmill.plans import queries as q
-from courtmill.schemas import MERGEABLE_NAMES, TAGS
+from courtmill.schemas import MERGEABLE, MERGEABLE_NAMES, METADATA_FIELDS, SPEC_FIELDS, TAGS
 
 #: White space as Unicode has it; the other engine's \s is ASCII only.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -15,10 +15,6 @@ def _lit(value: object) -> str:
     return "NULL" if value is None else str(value) if isinstance(value, int | float) else "'" + str(value).replace("'", "''") + "'"
 
 
-def _values(rows: list, name: str) -> str:
-    return f"(SELECT * FROM (VALUES {', '.join(f'(CAST({i} AS INTEGER), CAST({_lit(r)} AS VARCHAR))' for i, r in enumerate(rows))}) AS v(n, {name}))"
-
-
 def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
@@ -123,14 +119,19 @@ _ONE_LINE = _strip(f"regexp_replace(text, '{WS}+', ' ', 'g')")
 _F = "lower(brand) = 'veltrix' AND price <= 170.00"
 _PRICE = "CAST(price AS DOUBLE) AS price"
 _COS = "1 - list_dot_product(v, u) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(u, u)))"
-_REQUESTS = f"(VALUES {', '.join(f'(CAST({a} AS BIGINT), {_lit(b)}, {_lit(c)}, CAST({_lit(e)} AS DOUBLE))' for a, b, c, e in q.REQUESTS)}) AS r(request_id, playstyle, aesthetic, budget)"
+_REQUESTS = f"""(SELECT request_id, playstyle, aesthetic, budget, nullif(brand, '') AS brand, nullif(outdoor, '') AS outdoor, nullif(playstyle_tag, '') AS playstyle_tag, nullif(cut, '') AS cut, nullif(width, '') AS width,
+    nullif(position, '') AS position FROM (VALUES {', '.join(f"(CAST({r[0]} AS BIGINT), CAST({_lit(r[1])} AS VARCHAR), CAST({_lit(r[2])} AS VARCHAR), CAST({_lit(r[3])} AS DOUBLE), {', '.join(f'CAST({_lit(x)} AS VARCHAR)' for x in r[4:])})" for r in q.REQUESTS)})
+    AS v(request_id, playstyle, aesthetic, budget, brand, outdoor, playstyle_tag, cut, width, position)) AS r"""
+_MEETS = """(r.budget IS NULL OR CAST(s.price AS DOUBLE) <= r.budget) AND (r.brand IS NULL OR lower(s.brand) = lower(r.brand)) AND (r.outdoor IS NULL OR s.specs.outdoor_suitability = r.outdoor)
+    AND (r.playstyle_tag IS NULL OR list_contains(s.specs.playstyle_tags, r.playstyle_tag)) AND (r.cut IS NULL OR s.specs.cut_height = r.cut) AND (r.width IS NULL OR s.specs.width_fit = r.width)
+    AND (r.position IS NULL OR list_contains(s.specs.position_tags, r.position))"""
 
 
 def _by_tags(limit: int) -> str:
     return f"""SELECT request_id, shoe_id, CAST(overlap AS INTEGER) AS overlap, CAST(rn AS INTEGER) AS rn FROM (
         SELECT request_id, id AS shoe_id, overlap, row_number() OVER (PARTITION BY request_id ORDER BY overlap DESC, id) AS rn FROM (
             SELECT r.request_id, s.id, len(list_intersect(list_distinct(list_concat(coalesce(s.specs.playstyle_tags, []), coalesce(s.specs.position_tags, []))), {_tags_in("coalesce(r.playstyle, '')")})) AS overlap
-            FROM {_REQUESTS} JOIN shoes s ON r.budget IS NULL OR CAST(s.price AS DOUBLE) <= r.budget)) WHERE rn <= {limit}"""
+            FROM {_REQUESTS} JOIN shoes s ON {_MEETS})) WHERE rn <= {limit}"""
 
 
 _SEARCH = f"""WITH one AS (SELECT CAST(vector AS DOUBLE[]) AS u FROM chunk_embedding WHERE model_id = '{q.MODEL}' AND len(list_filter(vector, lambda x: x <> 0)) > 0 ORDER BY id LIMIT 1),
@@ -139,6 +140,13 @@ _SEARCH = f"""WITH one AS (SELECT CAST(vector AS DOUBLE[]) AS u FROM chunk_embed
     cut AS (SELECT shoe_id, id, source, round({_COS}, 6) AS distance FROM scored ORDER BY distance, id LIMIT 120),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY shoe_id ORDER BY distance, id) AS rn FROM cut)"""
 
+_RETRIEVED = f"""WITH r AS (SELECT id AS request_id, CAST(vector AS DOUBLE[]) AS u, CASE WHEN id % 100 = 0 THEN 150.0 END AS budget, CASE WHEN id % 150 = 0 THEN 'low' END AS cut, CASE WHEN id % 250 = 0 THEN 'Kordane' END AS brand,
+        CASE WHEN id % 350 = 0 THEN 'guard' END AS position, NULL AS outdoor, NULL AS playstyle_tag, NULL AS width FROM chunk_embedding WHERE model_id = '{q.MODEL}' AND id % 50 = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+    e AS (SELECT id, shoe_id, source, CAST(vector AS DOUBLE[]) AS v FROM chunk_embedding WHERE model_id = '{q.MODEL}' AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+    scored AS (SELECT r.request_id, e.shoe_id, e.id, e.source, round(1 - list_cosine_similarity(e.v, r.u), 6) AS distance FROM r JOIN e ON len(e.v) = len(r.u) JOIN shoes s ON s.id = e.shoe_id AND {_MEETS}),
+    cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY distance, id) <= 120),
+    hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id, shoe_id ORDER BY distance, id) AS INTEGER) AS rn FROM cut QUALIFY row_number() OVER (PARTITION BY request_id, shoe_id ORDER BY distance, id) <= 3)"""
+
 _SPACED = "replace(CAST({} AS VARCHAR), '_', ' ')"
 
 
@@ -183,11 +191,23 @@ _FILL = " UNION ALL ".join(
     for f in (*MERGEABLE_NAMES, *TAGS, *report.CONTAINERS)
 )
 
-_UPSERT = """old AS (SELECT id, canonical_id AS old_id, brand, name, CAST(price AS VARCHAR) AS price FROM shoes),
-    new AS (SELECT canonical_id AS new_id, brand AS nb, model AS nn, CAST(CAST(msrp_usd_cents / 100.0 AS DECIMAL(10,2)) AS VARCHAR) AS np FROM canonical_shoe),
-    acted AS (SELECT coalesce(new_id, old_id) AS canonical_id, id, CASE WHEN new_id IS NULL THEN 'delete' WHEN id IS NULL THEN 'insert'
-        WHEN brand IS NOT DISTINCT FROM nb AND name IS NOT DISTINCT FROM nn AND price IS NOT DISTINCT FROM np THEN 'unchanged' ELSE 'update' END AS action
-        FROM old FULL OUTER JOIN new ON old_id = new_id)"""
+_SORTED = "CAST(list_sort(map_entries({})) AS VARCHAR)"
+_NESTED = "CAST(list_sort(list_transform(map_entries({}), lambda e: (e.key, list_sort(map_entries(e.value))))) AS VARCHAR)"
+
+
+def _printed(specs: str, meta: str) -> str:
+    """All nested values of a catalogue row as one text, entries of maps in order."""
+    flat = [f"CAST({meta.format(f)} AS VARCHAR)" for f in METADATA_FIELDS if f not in ("metrics", "provenance")]
+    return f"[CAST({specs} AS VARCHAR), {_NESTED.format(meta.format('metrics'))}, {_SORTED.format(meta.format('provenance'))}, {', '.join(flat)}]"
+
+
+_OWN_SPECS = "struct_pack(" + ", ".join(f"{f} := {f}" for f in SPEC_FIELDS) + ")"
+_UPSERT = f"""old AS (SELECT id, canonical_id AS old_id, [brand, name, CAST(price AS VARCHAR), currency, image_url, affiliate_url, source_url] || {_printed("specs", "extra_metadata.{}")} AS o FROM shoes),
+    new AS (SELECT canonical_id AS new_id, brand, model AS name, CAST(msrp_usd_cents / 100.0 AS DECIMAL(10,2)) AS price, 'USD' AS currency, image_urls[1] AS image_url, affiliate_url, sources[1].url AS source_url, {_OWN_SPECS} AS specs,
+        pros, cons, review_text, image_urls, sources, provenance, metrics FROM canonical_shoe),
+    told AS (SELECT *, [brand, name, CAST(price AS VARCHAR), currency, image_url, affiliate_url, source_url] || {_printed("specs", "{}")} AS n FROM new),
+    acted AS (SELECT coalesce(new_id, old_id) AS canonical_id, id, CASE WHEN new_id IS NULL THEN 'delete' WHEN id IS NULL THEN 'insert' WHEN o IS NOT DISTINCT FROM n THEN 'unchanged' ELSE 'update' END AS action
+        FROM old FULL OUTER JOIN told ON old_id = new_id)"""
 
 _SYNC = f"""o AS (SELECT id, shoe_id, content, source, model_id, row_number() OVER (PARTITION BY shoe_id, content, source, model_id ORDER BY id) AS rn FROM chunk_embedding),
     d AS (SELECT DISTINCT shoe_id, content, source FROM chunk),
@@ -228,36 +248,41 @@ ORACLE: dict[str, str] = {
     "vector_candidates": f"""{_SEARCH}, best AS (SELECT shoe_id, min(distance) AS distance, CAST(count(*) AS INTEGER) AS n_snippets, arg_min(coalesce(source, chr(1)), rn) AS fs FROM ranked WHERE rn <= 3 GROUP BY 1 ORDER BY 2, 1 LIMIT 10)
         SELECT b.shoe_id, s.brand, s.name, b.distance + 0.0 AS distance, round(greatest(0.0, 1 - b.distance), 6) AS similarity, b.n_snippets, nullif(fs, chr(1)) AS first_source FROM best b JOIN shoes s ON s.id = b.shoe_id""",
     "fallback_rank": _by_tags(10),
-    "request_validation": f"SELECT request_id FROM {_REQUESTS} WHERE budget IS NOT NULL OR trim(coalesce(playstyle, '')) <> '' OR trim(coalesce(aesthetic, '')) <> ''",
-    "request_seed": f"""SELECT request_id, CAST(CAST('0x' || substr(sha256('{{"aesthetic":"' || aesthetic || '","playstyle":"' || playstyle || '"}}'), 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM {_REQUESTS}""",
+    "request_validation": "SELECT ord AS request_id FROM source_record WHERE drop_mm IS NOT NULL OR trim(coalesce(cushioning_tech, '')) <> '' OR trim(coalesce(traction_pattern, '')) <> '' OR coalesce(cut_height, '') <> ''",
+    "retrieve_hits": f"{_RETRIEVED} SELECT request_id, shoe_id, id, distance + 0.0 AS distance, rn FROM hits",
+    "retrieve_candidates": f"""{_RETRIEVED} SELECT request_id, shoe_id, min(distance) + 0.0 AS distance, round(greatest(0.0, 1 - min(distance)), 6) AS similarity, string_agg(coalesce(source, '-'), ',' ORDER BY rn) AS sources
+        FROM hits GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY min(distance), shoe_id) <= 10""",
+    "request_seed": """SELECT event_id AS request_id, CAST(CAST('0x' || substr(sha256('{"aesthetic":' || coalesce(CAST(to_json(props) AS VARCHAR), 'null') || ',"brand":null,"budget":' || coalesce(CAST(value AS VARCHAR), 'null')
+        || ',"cut":null,"outdoor":null,"playstyle":' || coalesce(CAST(to_json(event_type) AS VARCHAR), 'null') || ',"playstyle_tag":null,"position":null,"width":null}'), 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM events""",
     "topn_tie_groups": f"""WITH k AS ({_by_tags(20)}) SELECT request_id, shoe_id, CAST(overlap AS DOUBLE) AS rank_key, CAST(dense_rank() OVER (PARTITION BY request_id ORDER BY overlap DESC) AS INTEGER) AS tie_group,
         count(*) OVER (PARTITION BY request_id, overlap) AS group_size, CAST(rank() OVER (PARTITION BY request_id ORDER BY overlap DESC) - 1 AS INTEGER) AS before FROM k""",
     "template_card": f"SELECT id, {_chips()} AS chips, {_explanation()} AS explanation FROM shoes",
-    "query_text": f"""SELECT request_id, coalesce(nullif(concat_ws(' ', 'Basketball shoe for a ' || nullif(trim(playstyle), '') || ' player.', 'Style and look: ' || nullif(trim(aesthetic), '') || '.'), ''),
-        'Basketball shoe recommendation.') AS query_text FROM {_REQUESTS}""",
-    "unit_parse": f"""SELECT n, coalesce({_OZ}, round_even({_G} * 0.03527396, 2)) AS oz, {_GRAMS} AS g,
+    "query_text": f"""SELECT ord, coalesce(nullif(concat_ws(' ', 'Basketball shoe for a ' || nullif({_strip("cut_height")}, '') || ' player.', 'Style and look: ' || nullif({_strip("cushioning_tech")}, '') || '.'), ''),
+        'Basketball shoe recommendation.') AS query_text FROM source_record""",
+    "request_words": f"SELECT ord, concat_ws(' — ', nullif(cut_height, ''), nullif(array_to_string(playstyle_tags, ', '), ''), nullif({_strip('cushioning_tech')}, '')) AS playstyle FROM source_record",
+    "unit_parse": f"""SELECT ord, coalesce({_OZ}, round_even({_G} * 0.03527396, 2)) AS oz, {_GRAMS} AS g,
         coalesce({_num("t", rf"(?i){_NUM}\s*mm")}, {_num("t", rf"^\s*{_NUM}\s*$")}) AS mm, round_even({_num("t", _NUM)} * 100, 0) AS cents,
-        CASE WHEN t LIKE '%+' THEN NULL ELSE TRY_CAST(nullif(regexp_replace(t, '\\D', '', 'g'), '') AS DOUBLE) END AS budget FROM {_values(q.SAMPLES, "t")}""",
+        CASE WHEN t LIKE '%+' THEN NULL ELSE TRY_CAST(nullif(regexp_replace(t, '\\D', '', 'g'), '') AS DOUBLE) END AS budget FROM (SELECT ord, model_raw AS t FROM listing_record)""",
     "weights_of_records": f"SELECT ord, {_GRAMS} AS g, CAST(CAST(msrp_usd_cents / 100.0 AS DECIMAL(10,2)) AS DOUBLE) AS price FROM (SELECT *, CAST(weight_oz AS VARCHAR) || ' oz' AS t FROM source_record)",
-    "enum_map": f"SELECT n, {_CUT} AS cut, {_WIDTH} AS width, {_LENGTH} AS length, {_OUTDOOR} AS outdoor, {_SURFACE} AS surface FROM {_values(q.PHRASES, 't')}",
-    "tag_map": f"SELECT n, {_tags(vocab.POSITIONS)} AS positions, {_tags(vocab.PLAYSTYLES)} AS playstyles FROM {_values(q.PHRASES, 't')}",
+    "enum_map": f"SELECT ord, field, {_CUT} AS cut, {_WIDTH} AS width, {_LENGTH} AS length, {_OUTDOOR} AS outdoor, {_SURFACE} AS surface FROM ({' UNION ALL '.join(f"SELECT ord, '{f}' AS field, {f} AS t FROM source_record" for f in ('cut_height', 'width_fit', 'length_fit', 'outdoor_suitability', 'cushioning_tech', 'traction_pattern'))})",
+    "tag_map": f"SELECT ord, {_tags(vocab.POSITIONS)} AS positions, {_tags(vocab.PLAYSTYLES)} AS playstyles FROM (SELECT ord, array_to_string(list_concat(coalesce(position_tags, []), coalesce(playstyle_tags, [])), ' and ') AS t FROM source_record)",
     "tags_in_documents": f"SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE array_to_string({_tags_in('text')}, ',') END AS tags FROM documents",
     "score_thresholds": """WITH s AS (SELECT ord, unnest(map_entries(scores)) AS e FROM source_record), v AS (SELECT ord, e.key AS key, e.value AS value, TRY_CAST(replace(e.value, '%', '') AS DOUBLE) AS x FROM s)
         SELECT ord, key, CASE WHEN x IS NULL OR x = 0 THEN NULL WHEN x >= 75 THEN 'good' WHEN x >= 55 THEN 'fair' ELSE 'bad' END AS by_score,
         CASE WHEN value NOT LIKE '%\\%' ESCAPE '\\' THEN NULL WHEN x >= 80 THEN 'good' WHEN x >= 55 THEN 'fair' WHEN x IS NOT NULL THEN 'bad' END AS by_percent FROM v""",
     "brand_split": f"SELECT ord, {_PARTS[0]} AS brand, {_PARTS[1]} AS model FROM source_record",
     "brand_normalized": f"SELECT ord, {_brand('brand', q.OWN_BRANDS)} AS brand FROM source_record",
-    "model_key": f"""WITH p AS (SELECT n, t, {_split("t", naming.BRANDS)[0]} AS b, {_split("t", naming.BRANDS)[1]} AS m FROM {_values(q.NAMES, "t")})
-        SELECT n, {_key("b", "m", naming.BRANDS)} AS model_key, {_version("t")} AS version, {_signature(_key("NULL", "t", {"": []}))} AS signature, {_slug("b", "m")} AS slug FROM p""",
+    "model_key": f"""WITH p AS (SELECT ord, model_raw AS t, {_split("model_raw", naming.BRANDS)[0]} AS b, {_split("model_raw", naming.BRANDS)[1]} AS m FROM source_record)
+        SELECT ord, {_key("b", "m", naming.BRANDS)} AS model_key, {_version("t")} AS version, {_signature(_key("NULL", "t", {"": []}))} AS signature, {_slug("b", "m")} AS slug FROM p""",
     "version_signature": f"WITH {_READY} SELECT ord, model_key, {_version('m')} AS version, {_signature('model_key')} AS signature FROM ready",
     "boilerplate_strip": f"SELECT doc_id, {_advertising('text')} AS text FROM documents",
     "text_shorten": f"SELECT doc_id, CASE WHEN length({_ONE_LINE}) > 180 THEN regexp_replace(substr({_ONE_LINE}, 1, 179), '{WS}+$', '') || '…' ELSE {_ONE_LINE} END AS short FROM documents",
     "union_sources": """SELECT source, ord, model_raw, brand, weight_oz, CAST(len(review_text) AS DOUBLE) AS n_segments FROM source_record
         UNION ALL SELECT source, ord, model_raw, brand, weight_oz, NULL FROM listing_record""",
     "unmatched_records": f"WITH {_READY} SELECT ord, source, url, model_raw, 'no recognizable brand' AS reason FROM ready WHERE b IS NULL",
-    "entity_merge": f"""WITH {_READY}, merged AS (SELECT b AS brand, model_key, count(*) AS n_records, count(DISTINCT source) AS n_sources, CAST({_FIRST.format("release_year", "release_year")} AS DOUBLE) AS release_year,
-            CAST({_FIRST.format("msrp_usd_cents", "msrp_usd_cents")} AS DOUBLE) AS msrp_usd_cents, {_FIRST.format("weight_oz", "weight_oz")} AS weight_oz, {_FIRST.format("cut_height", "cut_height")} AS cut_height,
-            {_FIRST.format("source", "msrp_usd_cents")} AS price_source, {_FIRST.format("url", "weight_oz")} AS weight_url FROM ready WHERE b IS NOT NULL GROUP BY ALL)
+    "entity_merge": f"""WITH {_READY}, merged AS (SELECT b AS brand, model_key, count(*) AS n_records, count(DISTINCT source) AS n_sources,
+            {", ".join((f"CAST({_FIRST.format(f, f)} AS DOUBLE)" if k in ("int", "double") else _FIRST.format(f, f)) + f" AS {f}" for f, k in MERGEABLE)},
+            {", ".join(_FIRST.format("url", f) + f" AS {f}_url" for f, _ in MERGEABLE)} FROM ready WHERE b IS NOT NULL GROUP BY ALL)
         SELECT *, {_slug("brand", "model_key")} AS canonical_id FROM merged""",
     "entity_lists": f"""WITH {_READY}, own AS (SELECT *, row_number() OVER (PARTITION BY b, model_key ORDER BY priority, ord) AS rn FROM ready WHERE b IS NOT NULL),
         p AS (SELECT b, model_key, string_agg(coalesce(source, '') || ':' || t, '|' ORDER BY rn, i) AS pros FROM (SELECT b, model_key, source, rn, unnest(pros) AS t, generate_subscripts(pros, 1) AS i FROM own) GROUP BY 1, 2),
@@ -279,8 +304,15 @@ ORACLE: dict[str, str] = {
         FROM canonical_shoe ORDER BY 2 DESC, 3 DESC, 1 LIMIT 30""",
     "upsert_actions": f"WITH {_UPSERT} SELECT canonical_id, CAST(id AS DOUBLE) AS id, action FROM acted",
     "upsert_counters": f"WITH {_UPSERT} SELECT {', '.join(f'count(*) FILTER (WHERE action = {_lit(a)}) AS {n}' for a, n in (('insert', 'inserted'), ('update', 'updated'), ('delete', 'deleted'), ('unchanged', 'unchanged')))} FROM acted",
-    "upsert_snapshot": f"""WITH {_UPSERT} SELECT count(*) AS shoes, count(*) AS ids, (SELECT max(id) FROM acted) + count(*) FILTER (WHERE action = 'insert') AS top_id,
-        count(*) FILTER (WHERE action <> 'unchanged') AS changed FROM acted WHERE action <> 'delete'""",
+    "upsert_snapshot": f"""WITH {_UPSERT} SELECT CAST(a.id AS DOUBLE) AS id, a.canonical_id AS canonical_id, new.brand, new.name, CAST(new.price AS DOUBLE) AS price, new.currency, new.image_url, new.affiliate_url, new.source_url,
+        {", ".join((f"CAST(new.specs.{f} AS DOUBLE)" if f in ("release_year", "weight_oz", "weight_g", "drop_mm", "stack_heel_mm", "stack_forefoot_mm") else f"new.specs.{f}") + f" AS {f}" for f in SPEC_FIELDS if f not in TAGS)},
+        {", ".join(f"array_to_string(new.specs.{t}, ',') AS {t}" for t in TAGS)},
+        {", ".join(f"array_to_string(list_transform(new.{f}, lambda n: concat_ws(':', n.source, n.text)), '|') AS {f}" for f in ("pros", "cons", "review_text"))},
+        array_to_string(new.image_urls, '|') AS image_urls, array_to_string(list_transform(new.sources, lambda x: x.url), '|') AS urls, array_to_string(list_sort(map_keys(new.provenance)), ',') AS proven,
+        array_to_string(list_sort(map_keys(new.metrics)), ',') AS measured, CAST(coalesce(s.created_at, TIMESTAMP '2027-01-01 00:00:00') AS VARCHAR) AS created_at,
+        CAST(CASE WHEN action = 'unchanged' THEN s.updated_at ELSE TIMESTAMP '2027-01-01 00:00:00' END AS VARCHAR) AS updated_at
+        FROM acted a JOIN new ON a.canonical_id = new.new_id LEFT JOIN shoes s ON s.id = a.id WHERE action <> 'delete'""",
+    "upsert_new_ids": f"""WITH {_UPSERT} SELECT count(*) AS shoes, count(*) AS ids, (SELECT max(id) FROM acted) + count(*) FILTER (WHERE action = 'insert') AS top_id FROM acted WHERE action <> 'delete'""",
     "orphan_cleanup": "SELECT id, shoe_id FROM chunk_embedding WHERE shoe_id IN (SELECT id FROM shoes WHERE canonical_id IS NOT NULL)",
     "spec_summary": f"SELECT id AS shoe_id, {_summary()} AS content FROM shoes",
     "chunk_opinions": f"""WITH notes AS ({_opinions("pros")} UNION ALL {_opinions("cons")}), n AS (SELECT shoe_id, title, coalesce(nullif(s, ''), 'unknown') AS source,

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from courtmill.functions import naming, ranking, text, units, vectors, vocab
 from courtmill.operators import browse, chunks, report, resolve, search, upsert
 from courtmill.operators.browse import Filters
-from courtmill.sources import html, http, sites
+from courtmill.schemas import MERGEABLE, SPEC_FIELDS, TAGS
+from courtmill.sources import html, http, models, sites
 from courtmill.streaming import feedback
 from courtmill.tables import table
 
@@ -27,23 +28,16 @@ OWN_BRANDS = {
     "Port Ember": ["port ember"],
     "Jun-Tai": ["jun-tai", "jun tai"],
 }
-#: Requests of the recommendation queries: (request_id, playstyle, aesthetic, budget).
+#: Requests of the recommendation queries: (request_id, playstyle, aesthetic, budget, brand, outdoor, playstyle_tag, cut, width, position).
 REQUESTS = [
-    (1, "shifty guard who defends", "", 180.0),
-    (2, "post scorer, big man", "clean white", None),
-    (3, "all-around wing", "", 120.0),
-    (4, "", "retro", 90.0),
-    (5, "  ", "", None),
+    (1, "shifty guard who defends", "", 180.0, None, None, None, None, None, None),
+    (2, "post scorer, big man", "clean white", None, None, None, None, "mid", None, None),
+    (3, "all-around wing", "", 120.0, "VELTRIX", None, None, None, None, None),
+    (4, "", "retro", 90.0, None, "good", None, None, None, ""),
+    (5, "  ", "", None, None, None, None, None, None, None),
+    (6, None, None, None, None, None, "slasher", "low", "standard", "guard"),
 ]
-SAMPLES = ["13.9 oz", "366g", "12.9 oz / 366g", "394 grams", "8 mm", "28.9mm", " 7.5 ", "$120", "129.99 USD", "$1,299", "no number", "", None]
-PHRASES = [
-    "Low-cut", "High Top", "Below ankle", "Medium", "Fits narrow feet", "True to size", "TTS", "Slightly small", "Runs large", "half a size long", "size up",
-    "Great outdoors", "ok grip", "avoid", "Outdoor", "Indoor / Outdoor", "indoor only", "PG/SG", "SF, PF", "Slasher;Shooter", "quick guard and post", "safeguard posters", "", None,
-]
-NAMES = [
-    "Nike G.T. Cut 3", "Air Jordan XXXVIII", "Way of Wade 11", "Curry 3ZER0 2 Performance Review", "D.O.N. Issue #6", "MB.01 Lo", "Why Not Zer0.4", "Adidas T-Mac Millenium",
-    "New Balance TWO WAY v2", "Kobe AD NXT 360", "Fly.By Mid 3", "Air Zoom Crossover 2", "361° Joker", "Mystery Shoe 5", "Haldane Court Forge 3", "jun-tai Comet v4", "", None,
-]
+REQUEST = "request_id bigint, playstyle string, aesthetic string, budget double, brand string, outdoor string, playstyle_tag string, cut string, width string, position string"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -51,10 +45,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def _values(spark: SparkSession, rows: list, name: str) -> DataFrame:
-    return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"n int, {name} string")
-
-
 @query
 def browse_page(spark, d):
     rows = browse.page(table(spark, d, "shoes"), FILTERS, limit=20, offset=5)
@@ -152,7 +142,7 @@ def vector_candidates(spark, d):
 
 
 def _requests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REQUESTS, "request_id bigint, playstyle string, aesthetic string, budget double")
+    return spark.createDataFrame(REQUESTS, REQUEST)
 
 
 @query
@@ -162,13 +152,42 @@ def fallback_rank(spark, d):
 
 @query
 def request_validation(spark, d):
-    return search.valid_requests(_requests(spark)).select("request_id")
+    rows = table(spark, d, "source_record")
+    asked = rows.select(F.col("ord").alias("request_id"), F.col("cushioning_tech").alias("playstyle"), F.col("traction_pattern").alias("aesthetic"), F.col("drop_mm").alias("budget"), F.col("cut_height").alias("cut"))
+    return search.valid_requests(asked).select("request_id")
 
 
 @query
 def request_seed(spark, d):
-    rows = _requests(spark)
-    return rows.select("request_id", ranking.request_seed(playstyle=F.col("playstyle"), aesthetic=F.col("aesthetic")).alias("seed"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("playstyle"), F.col("props").alias("aesthetic"), F.col("value").alias("budget"))
+    none = F.lit(None).cast("string")
+    return rows.select("request_id", ranking.request_seed(**({c: none for c in ranking.SEED_FIELDS} | {c: F.col(c) for c in ("playstyle", "aesthetic", "budget")})).alias("seed"))
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """One request per 50th vector of the index, asking for what is like it, some with filters."""
+    rows = table(spark, d, "chunk_embedding").filter((F.col("model_id") == MODEL) & (F.col("id") % 50 == 0) & F.exists("vector", lambda x: x != 0))
+    return rows.select(
+        F.col("id").alias("request_id"),
+        "vector",
+        F.when(F.col("id") % 100 == 0, F.lit(150.0)).alias("budget"),
+        F.when(F.col("id") % 150 == 0, "low").when(F.col("id") % 150 == 50, "").alias("cut"),
+        F.when(F.col("id") % 250 == 0, "Kordane").alias("brand"),
+        F.when(F.col("id") % 350 == 0, "guard").alias("position"),
+    )
+
+
+@query
+def retrieve_hits(spark, d):
+    return search.retrieve(_asked_vectors(spark, d), table(spark, d, "shoes"), table(spark, d, "chunk_embedding"), MODEL)
+
+
+@query
+def retrieve_candidates(spark, d):
+    index = table(spark, d, "chunk_embedding")
+    found = search.retrieve(_asked_vectors(spark, d), table(spark, d, "shoes"), index, MODEL)
+    rows = search.retrieved_candidates(found, index)
+    return rows.select("request_id", "shoe_id", "distance", F.round("similarity", 6).alias("similarity"), F.array_join(F.transform("snippets", lambda s: F.coalesce(s["source"], F.lit("-"))), ",").alias("sources"))
 
 
 @query
@@ -180,13 +199,33 @@ def topn_tie_groups(spark, d):
 @query
 def topn_seeded_sample(spark, d):
     ranked = search.by_tags(_requests(spark), table(spark, d, "shoes")).withColumn("rank_key", ranking.primary_key(F.lit(None).cast("double"), F.col("overlap")))
-    seeds = _requests(spark).select("request_id", ranking.request_seed(playstyle=F.col("playstyle"), aesthetic=F.col("aesthetic")).alias("seed"))
+    seeds = _requests(spark).select("request_id", ranking.request_seed(**{c: F.col(c) for c in ranking.SEED_FIELDS}).alias("seed"))
     return search.choose(ranked.join(seeds, "request_id"))
 
 
+def _word_index(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks under vectors of the offline embedder."""
+    rows = table(spark, d, "chunk").filter(F.col("content").isNotNull())
+    made = chunks.embedded(rows, models.hash_embedder(), "words", F.lit("2027-01-01 00:00:00").cast("timestamp"))
+    return made.withColumn("id", F.xxhash64("shoe_id", "content", F.coalesce("source", F.lit(""))))
+
+
+@query
+def ranked_candidates(spark, d):
+    rows = search.ranked_candidates(_requests(spark), table(spark, d, "shoes"), _word_index(spark, d), models.hash_embedder(), "words")
+    return rows.select("request_id", "shoe_id", F.round("similarity", 6).alias("similarity"), "overlap", F.size("snippets").alias("n_snippets"))
+
+
 @query
 def recommendations(spark, d):
-    return search.recommend(_requests(spark), table(spark, d, "shoes")).withColumn("specs", F.array_join("specs", "; ")).withColumn("price", F.col("price").cast("double"))
+    rows = search.recommend(_requests(spark), table(spark, d, "shoes"), _word_index(spark, d), models.hash_embedder(), "words")
+    return rows.withColumn("specs", F.array_join("specs", "; ")).withColumns({c: F.col(c).cast("double") for c in ("price", "similarity")})
+
+
+@query
+def recommendations_by_tags(spark, d):
+    rows = search.recommend(_requests(spark), table(spark, d, "shoes"))
+    return rows.withColumn("specs", F.array_join("specs", "; ")).withColumn("price", F.col("price").cast("double"))
 
 
 @query
@@ -198,7 +237,12 @@ def template_card(spark, d):
 
 @query
 def query_text(spark, d):
-    return _requests(spark).select("request_id", text.query_text(F.col("playstyle"), F.col("aesthetic")).alias("query_text"))
+    return table(spark, d, "source_record").select("ord", text.query_text(F.col("cut_height"), F.col("cushioning_tech")).alias("query_text"))
+
+
+@query
+def request_words(spark, d):
+    return table(spark, d, "source_record").select("ord", text.request_words(F.col("cut_height"), F.col("playstyle_tags"), F.col("cushioning_tech")).alias("playstyle"))
 
 
 @query
@@ -210,9 +254,9 @@ def prompt_blocks(spark, d):
 
 @query
 def unit_parse(spark, d):
-    t = F.col("t")
+    t = F.col("model_raw")
     w = units.weight(t)
-    return _values(spark, SAMPLES, "t").select("n", w["oz"].alias("oz"), w["g"].alias("g"), units.millimetres(t).alias("mm"), units.usd_cents(t).cast("double").alias("cents"), units.budget(t).alias("budget"))
+    return table(spark, d, "listing_record").select("ord", w["oz"].alias("oz"), w["g"].alias("g"), units.millimetres(t).alias("mm"), units.usd_cents(t).cast("double").alias("cents"), units.budget(t).alias("budget"))
 
 
 @query
@@ -224,14 +268,18 @@ def weights_of_records(spark, d):
 @query
 def enum_map(spark, d):
     t = F.col("t")
-    return _values(spark, PHRASES, "t").select("n", vocab.cut_height(t).alias("cut"), vocab.width_fit(t).alias("width"), vocab.length_fit(t).alias("length"), vocab.outdoor(t).alias("outdoor"), vocab.surface(t).alias("surface"))
+    fields = ("cut_height", "width_fit", "length_fit", "outdoor_suitability", "cushioning_tech", "traction_pattern")
+    said = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("t")) for f in fields])).alias("s")
+    rows = table(spark, d, "source_record").select("ord", said).select("ord", "s.*")
+    return rows.select("ord", "field", vocab.cut_height(t).alias("cut"), vocab.width_fit(t).alias("width"), vocab.length_fit(t).alias("length"), vocab.outdoor(t).alias("outdoor"), vocab.surface(t).alias("surface"))
 
 
 @query
 def tag_map(spark, d):
-    t = F.col("t")
+    t = F.array_join(F.concat(F.coalesce("position_tags", F.array().cast("array<string>")), F.coalesce("playstyle_tags", F.array().cast("array<string>"))), " and ")
     join = lambda c: F.array_join(c, ",")
-    return _values(spark, PHRASES, "t").select("n", join(vocab.positions(t)).alias("positions"), join(vocab.playstyles(t)).alias("playstyles"))
+    rows = table(spark, d, "source_record").select("ord", t.alias("t"))
+    return rows.select("ord", join(vocab.positions(F.col("t"))).alias("positions"), join(vocab.playstyles(F.col("t"))).alias("playstyles"))
 
 
 @query
@@ -260,8 +308,9 @@ def brand_normalized(spark, d):
 
 @query
 def model_key(spark, d):
-    parts = naming.split_brand(F.col("t"))
-    return _values(spark, NAMES, "t").select("n", naming.model_key(parts["brand"], parts["model"]).alias("model_key"), naming.version(F.col("t")).alias("version"), F.array_join(naming.numeric_signature(naming.model_key(F.lit(None).cast("string"), F.col("t"))), " ").alias("signature"), naming.slug(parts["brand"], parts["model"]).alias("slug"))
+    parts = naming.split_brand(F.col("model_raw"))
+    signature = F.array_join(naming.numeric_signature(naming.model_key(F.lit(None).cast("string"), F.col("model_raw"))), " ")
+    return table(spark, d, "source_record").select("ord", naming.model_key(parts["brand"], parts["model"]).alias("model_key"), naming.version(F.col("model_raw")).alias("version"), signature.alias("signature"), naming.slug(parts["brand"], parts["model"]).alias("slug"))
 
 
 @query
@@ -298,9 +347,10 @@ def unmatched_records(spark, d):
 
 @query
 def entity_merge(spark, d):
-    rows = resolve.with_identity(resolve.merged(_ready(spark, d), ("release_year", "msrp_usd_cents", "weight_oz", "cut_height")))
-    made = F.col("provenance")
-    return rows.select("brand", "model_key", "canonical_id", "n_records", "n_sources", F.col("release_year").cast("double").alias("release_year"), F.col("msrp_usd_cents").cast("double").alias("msrp_usd_cents"), "weight_oz", "cut_height", F.try_element_at(made, F.lit("msrp_usd_cents"))["source"].alias("price_source"), F.try_element_at(made, F.lit("weight_oz"))["url"].alias("weight_url"))
+    rows = resolve.with_identity(resolve.merged(_ready(spark, d)))
+    values = [F.col(f).cast("double" if k in ("int", "double") else k).alias(f) for f, k in MERGEABLE]
+    made = [F.try_element_at(F.col("provenance"), F.lit(f))["url"].alias(f"{f}_url") for f, _ in MERGEABLE]
+    return rows.select("brand", "model_key", "canonical_id", "n_records", "n_sources", *values, *made)
 
 
 @query
@@ -383,19 +433,37 @@ def _upsert(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def upsert_actions(spark, d):
-    return upsert.actions(*_upsert(spark, d), values=("brand", "name", "price")).withColumn("id", F.col("id").cast("double"))
+    return upsert.actions(*_upsert(spark, d)).withColumn("id", F.col("id").cast("double"))
 
 
 @query
 def upsert_counters(spark, d):
-    return upsert.counters(upsert.actions(*_upsert(spark, d), values=("brand", "name", "price")))
+    return upsert.counters(upsert.actions(*_upsert(spark, d)))
 
 
 @query
 def upsert_snapshot(spark, d):
+    """The whole next catalogue; the ids of new shoes, which no order fixes, are shown as whether they are new."""
+    old, batch = _upsert(spark, d)
+    rows = upsert.applied(old, batch, F.lit("2027-01-01 00:00:00").cast("timestamp_ntz"))
+    top = old.agg(F.max("id").alias("top"))  # one row
+    rows = rows.crossJoin(F.broadcast(top))
+    notes = [F.array_join(F.transform(f"extra_metadata.{f}", lambda n: F.concat_ws(":", n["source"], n["text"])), "|").alias(f) for f in ("pros", "cons", "review_text")]
+    kept = [F.col(f"specs.{f}").cast("string" if f in ("version", "signature_player", "cut_height", "width_fit", "length_fit", "cushioning_tech", "traction_pattern", "outdoor_suitability") else "double").alias(f) for f in SPEC_FIELDS if f not in TAGS]
+    tags = [F.array_join(f"specs.{t}", ",").alias(t) for t in TAGS]
+    times = [F.col(c).cast("string").alias(c) for c in ("created_at", "updated_at")]
+    return rows.select(
+        F.when(F.col("id") <= F.col("top"), F.col("id").cast("double")).alias("id"), "canonical_id", "brand", "name", F.col("price").cast("double").alias("price"), "currency", "image_url", "affiliate_url", "source_url",
+        *kept, *tags, *notes, F.array_join("extra_metadata.image_urls", "|").alias("image_urls"), F.array_join(F.transform("extra_metadata.sources", lambda x: x["url"]), "|").alias("urls"),
+        F.array_join(F.array_sort(F.map_keys("extra_metadata.provenance")), ",").alias("proven"), F.array_join(F.array_sort(F.map_keys("extra_metadata.metrics")), ",").alias("measured"), *times,
+    )
+
+
+@query
+def upsert_new_ids(spark, d):
     old, batch = _upsert(spark, d)
-    rows = upsert.applied(old, batch, F.lit("2027-01-01 00:00:00").cast("timestamp_ntz"), values=("brand", "name", "price"))
-    return rows.agg(F.count(F.lit(1)).alias("shoes"), F.countDistinct("id").alias("ids"), F.max("id").alias("top_id"), F.count_if(F.col("updated_at") == F.lit("2027-01-01 00:00:00").cast("timestamp_ntz")).alias("changed"))
+    rows = upsert.applied(old, batch, F.lit("2027-01-01 00:00:00").cast("timestamp_ntz"))
+    return rows.agg(F.count(F.lit(1)).alias("shoes"), F.countDistinct("id").alias("ids"), F.max("id").alias("top_id"))
 
 
 @query

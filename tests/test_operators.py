@@ -8,9 +8,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from courtmill.functions import ranking
 from courtmill.operators import browse, chunks, report, resolve, search, upsert
 from courtmill.operators.browse import Filters
 from courtmill.sources import http, models
+from courtmill.streaming import feedback
 
 SPECS = "version string, release_year int, signature_player string, weight_oz double, weight_g double, drop_mm double, stack_heel_mm double, stack_forefoot_mm double, cut_height string, width_fit string, length_fit string, cushioning_tech string, traction_pattern string, outdoor_suitability string, position_tags array<string>, playstyle_tags array<string>"
 
@@ -57,6 +59,7 @@ def test_fallback_and_recommend(spark, catalog):
     ranked = search.by_tags(requests, catalog)
     assert [(r.shoe_id, r.overlap) for r in ranked.filter("request_id = 1").orderBy("rn").collect()] == [(3, 2), (1, 0), (2, 0), (4, 0)]
     assert [r.shoe_id for r in ranked.filter("request_id = 2").orderBy("rn").collect()] == [3, 4]
+    assert "NestedLoop" not in ranked._jdf.queryExecution().toString()
     cards = search.recommend(requests, catalog).collect()
     assert {r.request_id for r in cards} == {1, 2} and all(r.explanation for r in cards)
     assert [r.shoe_id for r in cards if r.request_id == 1 and r.place == 1] == [3]
@@ -64,6 +67,55 @@ def test_fallback_and_recommend(spark, catalog):
     assert sorted((r.request_id, r.place, r.shoe_id) for r in cards) == sorted((r.request_id, r.place, r.shoe_id) for r in again)
 
 
+def test_filters_hold_in_both_searches(spark, catalog):
+    asked = [(1, "post", None, None, "PEAK", None, None), (2, "post", None, 100.0, None, "shooter", ""), (3, None, None, None, "Nike", None, None), (4, "post", None, None, "None", None, None), (5, "x", None, -1.0, None, None, None)]
+    requests = spark.createDataFrame(asked, "request_id int, playstyle string, aesthetic string, budget double, brand string, playstyle_tag string, cut string")
+    index = spark.createDataFrame([(i, 1 + i % 4, f"post shoe {i}", None, "m", models.hash_embedder(16)([f"post shoe {i % 3}"])[0]) for i in range(30)] + [(90, 3, "bad", None, "m", None), (91, 3, "short", None, "m", [1.0])], "id bigint, shoe_id bigint, content string, source string, model_id string, vector array<float>")
+    calls = []
+
+    def broken(texts):
+        raise models.Unavailable("down")
+
+    found = search.ranked_candidates(requests, catalog, index, models.hash_embedder(16), "m").collect()
+    of = lambda n: {r.shoe_id for r in found if r.request_id == n}
+    assert of(1) == {3, 4} and of(2) == {3} and of(3) == {1, 2} and of(4) == set() and of(5) == set()
+    assert all((r.similarity is None) == (r.request_id == 3) for r in found)
+    exact = search.retrieve(search.with_vectors(requests, models.hash_embedder(16)), catalog, index, "m", limit=1, snippets=2).filter("request_id = 1").collect()
+    assert len(exact) == 4 and {r.rn for r in exact} == {1, 2}
+    models.RETRIES, old = 0, models.RETRIES
+    try:
+        down = search.ranked_candidates(requests, catalog, index, lambda texts: [[1.0]], "m")
+        assert {r.request_id for r in down.collect()} >= {1, 2, 3}
+    finally:
+        models.RETRIES = old
+    with pytest.raises(models.ModelError):
+        models.embedded(broken, ["a"], sleep=calls.append)
+    assert calls == [2.0, 4.0, 8.0, 16.0]
+    assert models.in_order([(1, [2.0]), (0, [1.0])]) == [[1.0], [2.0]]
+    with pytest.raises(models.ModelError):
+        models.embedded(lambda t: [[1.0]], ["a", "b"])
+
+
+def test_model_explains_or_templates_stand(spark, catalog):
+    class Echo:
+        """A model that makes cards for prompts that ask for it, and fails for others."""
+
+        def complete_json(self, system, user, schema_name, schema):
+            if "slasher" not in user:
+                raise RuntimeError("no")
+            return {"cards": [{"specs": ["own"], "explanation": f"card {i}"} for i in range(user.count("Evidence:"))]}
+
+    requests = spark.createDataFrame([(1, "slasher", "red", None), (2, "post", "", None)], "request_id bigint, playstyle string, aesthetic string, budget double")
+    cards = search.recommend(requests, catalog, model=Echo()).collect()
+    assert all((r.explanation == f"card {r.place - 1}" and r.specs == ["own"]) == (r.request_id == 1) for r in cards) and {r.request_id for r in cards} == {1, 2}
+
+
+def test_seed_is_of_all_fields():
+    base = {c: None for c in ranking.SEED_FIELDS}
+    seeds = {ranking.seed_of(base | {c: "é"}) for c in ranking.SEED_FIELDS} | {ranking.seed_of(base)}
+    assert len(seeds) == len(ranking.SEED_FIELDS) + 1
+
+
 def test_model_cards(spark):
     placed = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 12), (3, 1, 13)], "request_id bigint, place int, shoe_id bigint")
     answers = spark.createDataFrame([(1, '{"cards":[{"specs":[" a ","","b"],"explanation":" x  y "},{"specs":null,"explanation":"z"}]}'), (2, "no json"), (3, '{"cards":[{"specs":[],"explanation":" "}]}')], "request_id bigint, answer string")
@@ -119,6 +171,34 @@ def test_upsert(spark, catalog):
     assert upsert.counters(upsert.actions(after.withColumn("x", F.lit(1)), whole, values)).first().asDict() == {"inserted": 0, "updated": 0, "deleted": 0, "unchanged": 3}
     assert upsert.counters(upsert.actions(catalog, whole.limit(0), values)).first()["deleted"] == 4
     assert upsert.duplicates(whole.unionByName(new)).first()["n"] == 2
+    with pytest.raises(Exception, match="canonical_id twice in a batch: z"):
+        upsert.counters(upsert.actions(catalog, whole.unionByName(new), values)).collect()
+    with pytest.raises(ValueError):
+        upsert.applied(catalog, whole.limit(0), F.lit(datetime(2027, 1, 1)), values)
+
+
+def test_upsert_sees_nested_values(spark, catalog):
+    whole = catalog.filter("canonical_id is not null").drop("id", "created_at", "updated_at")
+    same = upsert.counters(upsert.actions(catalog, whole)).first().asDict()
+    assert same == {"inserted": 0, "updated": 0, "deleted": 1, "unchanged": 3}
+    wiped = whole.withColumn("specs", F.lit(None).cast(whole.schema["specs"].dataType))
+    assert upsert.counters(upsert.actions(catalog, wiped)).first()["updated"] == 3
+    after = upsert.applied(catalog, wiped, F.lit(datetime(2027, 1, 1)))
+    assert {"specs", "extra_metadata"} <= set(after.columns) and after.filter("specs is not null").count() == 0
+    maps = spark.createDataFrame([("a", {"x": {"p": "1", "q": "2"}, "y": {}}), ("b", {"x": {"p": "1"}})], "canonical_id string, m map<string,map<string,string>>").withColumn("id", F.lit(1))
+    other = spark.createDataFrame([("a", {"y": {}, "x": {"q": "2", "p": "1"}}), ("b", {"x": {"p": "3"}})], "canonical_id string, m map<string,map<string,string>>")
+    assert {r.canonical_id: r.action for r in upsert.actions(maps, other, ("m",)).collect()} == {"a": "unchanged", "b": "update"}
+
+
+def test_catalog_stream(spark, catalog, tmp_path):
+    folder, inbox = str(tmp_path / "catalog"), str(tmp_path / "inbox")
+    catalog.write.parquet(f"{folder}/version=0")
+    rows = catalog.filter("canonical_id = 'c'").drop("id", "created_at", "updated_at")
+    rows.withColumn("name", F.lit("old")).withColumn("ord", F.lit(1)).unionByName(rows.withColumn("name", F.lit("new")).withColumn("ord", F.lit(2))).unionByName(rows.withColumn("canonical_id", F.lit("z")).withColumn("ord", F.lit(3))).write.parquet(inbox)
+    stream = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
+    feedback.catalog_stream(stream, folder, str(tmp_path / "c"), F.lit(datetime(2027, 1, 1))).awaitTermination(120)
+    after = {r.canonical_id: (r.id, r.name) for r in spark.read.parquet(f"{folder}/version=1").collect()}
+    assert after == {"a": (1, "A"), "b": (2, "B"), "c": (3, "new"), "z": (5, "C")}
 
 
 def test_chunk_sync(spark):
