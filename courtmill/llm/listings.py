@@ -1,31 +1,37 @@
 """Product listings describing the same item: title combination voting.
 
-Titles are cut into segments and words; typed attributes (weights, drops, sizes, years) are left out.
-Token combinations within a segment are counted over all titles and scored by frequency, by length and
-by how close and how far to the front their words stand. Words that follow many different words in
-cohesive combinations (the rarer word hardly occurs without the other) are the heads of model lines.
-Each title takes its best combination of a word and a head, fused or misspelt heads included; the
-combination, the version number, the stated cut and the audience make up its group. Then clusters are
-verified and merged: a rare combination within two edits of a much commoner one of the same brand
-joins it, and titles of one combination that name different brands are parted.
-
-Counting is combined in each batch and on the map side, so a product with a third of all titles is no
-hot task; what the driver gathers is the list of heads, a vocabulary checked against ``MOST_HEADS``.
-Groups are keys, never collected; ``matching_pairs`` only expands them because its result is defined
-as pairs, and salts large groups.
+Titles are cut into segments and words; typed attributes (weights, drops, sizes, years) are left out. Ordered combinations of two to ``MOST_WORDS`` words that stand within ``SPAN`` words of a
+segment are counted over all titles and scored by frequency, by length, by how close and how far to the
+front their words stand, and by cohesion (the share of the rarest word's titles that hold them all). Each
+title takes its best combination. Words that follow many different words in cohesive pairs are the heads of
+model lines; a title that has pairs of a word and a head chooses among those, fused or misspelt heads
+included, and any other title among all its combinations that two or more titles share and that are not
+words of brands only.
+
+The combination, the version number, the stated cut and the audience make up a title's group. Then clusters
+are verified and merged: a rare combination within two edits of a much commoner one of the same brand joins
+it, and titles of one combination that name different brands are parted. Combinations of over
+``LONGEST_EDITED`` letters are merged only where they are equal.
+
+Counting is combined in each batch and on the map side, so a product with a third of all titles is no hot
+task; titles are read twice, to count and to choose. What the driver gathers are the heads and the words of
+brands, two vocabularies checked against ``MOST_HEADS``. Groups are keys, never collected;
+``matching_pairs`` only expands them because its result is defined as pairs, and salts large groups.
 
 Defined results: null or blank titles are in no group; an accessory (a thing *for* a shoe) groups only
-with the same row delivered again; titles without a recognisable model line group by their whole
-folded name; empty tables give empty results; extra columns are ignored.
+with the same row delivered again; titles without any shared combination group by their whole folded name;
+empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +40,17 @@ from courtmill.llm.canonical import deletes, distance, folded
 from courtmill.session import checkpoint
 
 
-MOST_HEADS = 50_000
+MOST_HEADS = 100_000
 HEAD_PARTNERS = 3
 COHESION = 0.5
 EDITS = 2
+LONGEST_EDITED = 60
+#: Words of a combination at most, and the stretch of words they stand within.
+MOST_WORDS, SPAN = 4, 6
 #: Share of a line's titles that a misspelling within one edit, and one within two, may have at most.
 RARER, RARE = 0.1, 0.02
 SALT_ROWS = 512
+SALTS = 4
 CACHED_WORDS = 500_000
 #: Words of the field that are never part of a model line.
 CUTS = {"low": "low", "lo": "low", "mid": "mid", "high": "high", "hi": "high"}
@@ -75,51 +85,61 @@ def words(segment: str) -> list[str]:
     return [w for w in _WORD.findall(_TYPED.sub(" ", segment)) if len(w) > 2 and not w.isdigit() and w not in PLAIN and not re.fullmatch(r"v?\d+\w*", w)]
 
 
+def ordered(parts: list[str]) -> Iterator[tuple[tuple[str, ...], int, int]]:
+    """(combination, words from its first to its last, place of its first) of a segment's words."""
+    for i, first in enumerate(parts):
+        rest = range(i + 1, min(len(parts), i + SPAN))
+        for k in range(1, MOST_WORDS):
+            for chosen in itertools.combinations(rest, k):
+                yield (first, *(parts[j] for j in chosen)), chosen[-1] - i, i
+
+
 def combinations(listings: DataFrame) -> DataFrame:
-    """(first, second, titles, gap, place): ordered word pairs of one segment over all titles.
+    """(combination, titles, gap, place): ordered combinations of words of one segment over all titles.
 
-    ``gap`` is the mean number of words from the first to the second, ``place`` the first's mean position.
-    ``second`` is null in the rows that count single words.
+    ``gap`` is the mean number of words from the first to the last beyond their number, ``place`` the
+    first's mean position. Combinations of one word count the titles that hold it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts: Counter = Counter()
-            gaps: Counter = Counter()
-            places: Counter = Counter()
+            counts: dict[tuple, list[int]] = {}
             for title in batch["model_raw"]:
                 seen: dict[tuple, tuple[int, int]] = {}
                 for segment in segments(title):
                     parts = words(segment)
-                    for i, a in enumerate(parts):
-                        seen.setdefault((a, None), (0, i))
-                        for j in range(i + 1, len(parts)):
-                            seen.setdefault((a, parts[j]), (j - i, i))
-                for pair, (gap, place) in seen.items():
-                    counts[pair] += 1
-                    gaps[pair] += gap
-                    places[pair] += place
-            yield pd.DataFrame([(a, b, n, gaps[a, b], places[a, b]) for (a, b), n in counts.items()], columns=["first", "second", "titles", "gap", "place"])
-
-    each = listings.filter(F.btrim("model_raw") != "").select("model_raw").mapInPandas(run, "first string, second string, titles bigint, gap bigint, place bigint")
-    total = each.groupBy("first", "second").agg(*[F.sum(c).alias(c) for c in ("titles", "gap", "place")])
-    return total.select("first", "second", "titles", (F.col("gap") / F.col("titles")).alias("gap"), (F.col("place") / F.col("titles")).alias("place"))
+                    for i, word in enumerate(parts):
+                        seen.setdefault((word,), (0, i))
+                    for combination, gap, place in ordered(parts):
+                        seen.setdefault(combination, (gap, place))
+                for combination, (gap, place) in seen.items():
+                    total = counts.setdefault(combination, [0, 0, 0])
+                    total[0] += 1
+                    total[1] += gap
+                    total[2] += place
+            yield pd.DataFrame([(list(c), *t) for c, t in counts.items()], columns=["combination", "titles", "gap", "place"])
+
+    each = listings.filter(F.btrim("model_raw") != "").select("model_raw").mapInPandas(run, "combination array<string>, titles bigint, gap bigint, place bigint")
+    total = each.groupBy("combination").agg(*[F.sum(c).alias(c) for c in ("titles", "gap", "place")]).filter("titles > 1")
+    return total.select("combination", "titles", (F.col("gap") / F.col("titles") - F.size("combination") + 1).alias("gap"), (F.col("place") / F.col("titles")).alias("place"))
 
 
 def scored(combos: DataFrame) -> DataFrame:
-    """The pairs with ``cohesion`` (share of the rarer word's titles that hold both) and ``score``."""
-    single = combos.filter("second is null").select(F.col("first").alias("word"), F.col("titles").alias("df"))
-    pairs = combos.filter("second is not null")
-    pairs = pairs.join(single.select(F.col("word").alias("first"), F.col("df").alias("df1")), "first").join(single.select(F.col("word").alias("second"), F.col("df").alias("df2")), "second")
-    pairs = pairs.withColumn("cohesion", F.col("titles") / F.least("df1", "df2"))
-    length = F.length("first") + F.length("second")
-    return pairs.withColumn("score", F.log1p("titles") * F.col("cohesion") * length / (1 + F.col("gap")) / (1 + F.col("place") / 8))
-
-
-def heads(pairs: DataFrame) -> list[str]:
+    """(combination, titles, gap, place, df1, df2, cohesion, score) of two words or more; ``df1``, ``df2`` of the first and last."""
+    single = combos.filter(F.size("combination") == 1).select(F.get("combination", F.lit(0)).alias("word"), F.col("titles").alias("df"))
+    several = combos.filter(F.size("combination") > 1)
+    rarest = several.select("combination", F.explode("combination").alias("word")).join(single, "word").groupBy("combination").agg(F.min("df").alias("rarest"), F.map_from_entries(F.collect_set(F.struct("word", "df"))).alias("dfs"))
+    joined = several.join(rarest, "combination").withColumn("cohesion", F.col("titles") / F.col("rarest"))
+    last = F.element_at("combination", -1)
+    length = F.size("combination") * F.length(F.array_join("combination", "")) / 2
+    score = F.log1p("titles") * F.col("cohesion") * length / (1 + F.col("gap") + 1) / (1 + F.col("place") / 8)
+    return joined.select("combination", "titles", "gap", "place", F.element_at("dfs", F.get("combination", F.lit(0))).alias("df1"), F.element_at("dfs", last).alias("df2"), "cohesion", score.alias("score"))
+
+
+def heads(scores: DataFrame) -> list[str]:
     """Words that stand right after ``HEAD_PARTNERS`` or more different rarer words in cohesive pairs."""
-    near = pairs.filter((F.col("gap") < 1.5) & (F.col("cohesion") >= COHESION) & (F.col("titles") >= 2) & (F.col("df1") < F.col("df2")))
-    found = near.groupBy("second").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAD_PARTNERS)
+    near = scores.filter((F.size("combination") == 2) & (F.col("gap") < 0.5) & (F.col("cohesion") >= COHESION) & (F.col("df1") < F.col("df2")))
+    found = near.select(F.element_at("combination", -1).alias("second")).groupBy("second").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAD_PARTNERS)
     rows = found.orderBy(F.desc("n"), "second").limit(MOST_HEADS + 1).collect()  # at most MOST_HEADS + 1 rows
     if len(rows) > MOST_HEADS:
         raise ValueError("more heads than may be broadcast")
@@ -232,7 +252,10 @@ def brand_key(brand: str | None) -> str:
 
 
 def parsed(listings: DataFrame, known: list[str], brands: list[str] = ()) -> DataFrame:
-    """(ord, word, head, version, cut, youth, brand, accessory, name): one row per candidate line of a title."""
+    """(ord, combination, line, version, cut, youth, brand, accessory, name): one row per candidate of a title.
+
+    ``line`` tells whether the candidate is a word and a head; if a title has one, it has no others.
+    """
     parser = listings.sparkSession.sparkContext.broadcast(Parser(known, brands))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,13 +266,27 @@ def parsed(listings: DataFrame, known: list[str], brands: list[str] = ()) -> Dat
                 parts = segments(title)
                 common = (p.cut(parts), p.youth(parts), brand_key(brand if isinstance(brand, str) else None))
                 name = " ".join(sorted({w for s in parts[:1] for w in _WORD.findall(s)}))
-                lines = p.lines(parts) or [("", "", "")]
-                for word, head, rest in lines:
-                    rows.append((key, word, head, p.version(rest), *common, p.accessory(title), name))
-            yield pd.DataFrame(rows, columns=["ord", "word", "head", "version", "cut", "youth", "brand", "accessory", "name"]).astype({"version": "int32"})
+                for word, head, rest in p.lines(parts):
+                    rows.append((key, [word, head], True, p.version(rest), *common, p.accessory(title), name))
+                if not rows or rows[-1][0] != key:
+                    rows.append((key, [], False, 0, *common, p.accessory(title), name))
+                    for segment in parts:
+                        for combination in dict.fromkeys(c for c, _, _ in ordered(words(segment)) if not p.brands.issuperset(c)):
+                            rest = segment[segment.rfind(combination[-1]) + len(combination[-1]) :]
+                            rows.append((key, list(combination), False, p.version(rest), *common, p.accessory(title), name))
+            yield pd.DataFrame(rows, columns=["ord", "combination", "line", "version", "cut", "youth", "brand", "accessory", "name"]).astype({"version": "int32"})
 
     titled = listings.filter(F.btrim("model_raw") != "").select(F.col("ord").cast("long"), "model_raw", "brand")
-    return titled.mapInPandas(run, "ord bigint, word string, head string, version int, cut string, youth boolean, brand string, accessory boolean, name string")
+    return titled.mapInPandas(run, "ord bigint, combination array<string>, line boolean, version int, cut string, youth boolean, brand string, accessory boolean, name string")
+
+
+def chosen(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """(ord, line, version, cut, youth, brand, accessory, name): each title with its best combination, '' if none is shared."""
+    fields = ("combination", "version", "cut", "youth", "brand", "accessory", "name")
+    ranked = rows.join(scores.select("combination", "score"), "combination", "left").filter(F.col("line") | (F.size("combination") == 0) | F.col("score").isNotNull())
+    rank = F.struct(F.coalesce("score", F.lit(0.0)), F.length(F.coalesce(F.get("combination", F.lit(0)), F.lit(""))), "combination")
+    best = ranked.groupBy("ord").agg(F.max_by(F.struct(*fields), rank).alias("b")).select("ord", "b.*")
+    return best.select("ord", F.array_join("combination", "").alias("line"), "version", "cut", "youth", "brand", "accessory", "name")
 
 
 def merged_lines(clusters: DataFrame) -> DataFrame:
@@ -258,24 +295,32 @@ def merged_lines(clusters: DataFrame) -> DataFrame:
     ``clusters`` has one row per line with ``titles`` and ``brand``. Lines meet on their delete keys.
     """
 
-    @F.udf("array<string>")
-    def keys(line: str) -> list:
-        return sorted(deletes(line, EDITS)) if len(line) <= 60 else [line]
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["keys"] = [sorted(deletes(line, EDITS)) if len(line) <= LONGEST_EDITED else [line] for line in batch["line"]]
+            yield batch
 
-    @F.udf("boolean")
     def alike(a: str, b: str, brand_a: str, brand_b: str, few: int, many: int) -> bool:
         if brand_a and brand_b and brand_a != brand_b and distance(brand_a, brand_b, 2.0) > 2.0:
             return False
         sure = brand_a and brand_b and many > 1 and few <= max(2, RARE * many)
         return distance(a, b, 2.0) <= (2.0 if sure else 1.0)
 
-    each = clusters.select("line", "titles", "brand", F.explode(keys("line")).alias("key"))
-    rare = each.select("key", *[F.col(c).alias(f"a_{c}") for c in ("line", "titles", "brand")])
-    often = each.select("key", *[F.col(c).alias(f"b_{c}") for c in ("line", "titles", "brand")])
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["a_line", "b_line", "a_brand", "b_brand", "a_titles", "b_titles"]
+        for batch in batches:
+            good = [alike(*row) for row in zip(*(batch[c].tolist() for c in columns), strict=True)]
+            yield batch[np.array(good, dtype=bool)]
+
+    entered = clusters.select("line", "titles", "brand").mapInPandas(enter, "line string, titles bigint, brand string, keys array<string>")
+    each = entered.select("line", "titles", "brand", F.explode("keys").alias("key")).select("line", "titles", "brand", F.xxhash64("key").alias("key"))
+    # A key of very many lines is dealt over SALTS tasks.
+    rare = each.select("key", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int").alias("salt"), *[F.col(c).alias(f"a_{c}") for c in ("line", "titles", "brand")])
+    often = each.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(c).alias(f"b_{c}") for c in ("line", "titles", "brand")])
     much_rarer = F.col("a_titles") <= F.greatest(F.lit(2), F.col("b_titles") * RARER)
     ordered = (F.col("a_titles") < F.col("b_titles")) | ((F.col("a_titles") == F.col("b_titles")) & (F.col("a_line") > F.col("b_line")))
-    pairs = rare.join(often, "key").filter((F.col("a_line") != F.col("b_line")) & much_rarer & ordered).drop("key").distinct()
-    good = pairs.filter(alike("a_line", "b_line", "a_brand", "b_brand", "a_titles", "b_titles"))
+    pairs = rare.join(often, ["key", "salt"]).filter((F.col("a_line") != F.col("b_line")) & much_rarer & ordered).drop("key", "salt").distinct()
+    good = pairs.mapInPandas(check, pairs.schema)
     once = good.groupBy(F.col("a_line").alias("line")).agg(F.max_by("b_line", F.struct("b_titles", "b_line")).alias("into"))
     twice = once.select(F.col("line").alias("into"), F.col("into").alias("further"))
     return once.join(twice, "into", "left").select("line", F.coalesce("further", "into").alias("into"))
@@ -283,13 +328,9 @@ def merged_lines(clusters: DataFrame) -> DataFrame:
 
 def groups(listings: DataFrame) -> DataFrame:
     """(ord, group_id): listings of one shoe have the same id; accessories have ids of their own rows."""
-    pairs = checkpoint(scored(combinations(listings)).filter(F.col("gap") < 1.5))  # adjacent words only; read three times
-    rows = parsed(listings, heads(pairs), brand_words(listings))
-    score = pairs.select(F.col("first").alias("word"), F.col("second").alias("head"), "score")
-    ranked = rows.join(score, ["word", "head"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    fields = ("word", "head", "version", "cut", "youth", "brand", "accessory", "name")
-    best = ranked.groupBy("ord").agg(F.max_by(F.struct(*fields), F.struct("score", F.length("word"), "word", "head")).alias("b")).select("ord", "b.*")
-    best = checkpoint(best.withColumn("line", F.concat("word", "head")))  # one short row a title; read five times
+    brands = brand_words(listings)
+    scores = checkpoint(scored(checkpoint(combinations(listings))))  # shared combinations only; each read twice
+    best = checkpoint(chosen(parsed(listings, heads(scores), brands), scores))  # one short row a title; read five times
     shoes = best.filter(~F.col("accessory") & (F.col("line") != ""))
     votes = shoes.groupBy("line", "brand").agg(F.count(F.lit(1)).alias("n"))
     clusters = votes.groupBy("line").agg(F.sum("n").alias("titles"), F.max_by("brand", F.struct(F.when(F.col("brand") != "", F.col("n")).otherwise(0), "brand")).alias("brand"))
@@ -299,11 +340,13 @@ def groups(listings: DataFrame) -> DataFrame:
     placed = votes.join(moved, "line", "left").select(home.alias("home"), "brand", "n").groupBy("home", "brand").agg(F.sum("n").alias("n"))
     top = placed.groupBy("home").agg(F.max_by("brand", F.struct(F.when(F.col("brand") != "", F.col("n")).otherwise(0), "brand")).alias("top"))
 
-    @F.udf("boolean")
-    def other(brand: str, main: str) -> bool:
-        return bool(brand and main and not brand.startswith(main) and not main.startswith(brand) and distance(brand, main, 3.0) > 3.0)
+    def other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            apart = [bool(x and y and not x.startswith(y) and not y.startswith(x) and distance(x, y, 3.0) > 3.0) for x, y in zip(batch["brand"], batch["top"], strict=True)]
+            yield batch[np.array(apart, dtype=bool)]
 
-    apart = placed.join(top, "home").filter((F.col("n") >= 2) & other("brand", "top")).select("home", "brand", F.col("brand").alias("own_brand"))
+    rivals = placed.join(top, "home").filter((F.col("n") >= 2) & (F.col("brand") != F.col("top"))).select("home", "brand", "top")
+    apart = rivals.mapInPandas(other, rivals.schema).select("home", "brand", F.col("brand").alias("own_brand"))
     joined = shoes.join(moved, "line", "left").withColumn("home", home).join(apart, ["home", "brand"], "left")
     told = joined.select("ord", F.concat_ws("|", F.lit("shoe"), "home", F.coalesce("own_brand", F.lit("")), F.col("version").cast("string"), "cut", F.col("youth").cast("string")).alias("group_id"))
     loose = best.filter(~F.col("accessory") & (F.col("line") == "")).select("ord", F.concat_ws("|", F.lit("name"), "name", "brand", F.col("version").cast("string"), "cut", F.col("youth").cast("string")).alias("group_id"))
