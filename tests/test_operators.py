@@ -101,7 +101,7 @@ def test_model_explains_or_templates_stand(spark, catalog):
         """A model that makes cards for prompts that ask for it, and fails for others."""
 
         def complete_json(self, system, user, schema_name, schema):
-            if "slasher" not in user:
+            if "Playstyle: slasher" not in user:
                 raise RuntimeError("no")
             return {"cards": [{"specs": ["own"], "explanation": f"card {i}"} for i in range(user.count("Evidence:"))]}
 
