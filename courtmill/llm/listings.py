@@ -60,6 +60,8 @@ PLAIN = frozenset(
     "shoe shoes sneaker sneakers trainer trainers gen vol version by for the and with drop weight oz grams size us eu uk release cm mm".split()
 )
 _YOUTH = re.compile(r"\b(?:gs|grade school|youth|kids?|junior|jr|boys?|girls?|children s|toddler)\b")
+#: A thing that is for something; "for men" and the like at the end of a segment tell whom a shoe is for.
+_FOR = re.compile(r"\s*(?:[^\W\d_]+[\s:]+){1,4}(?:[-–—|]\s+)?(?:for|fits|to fit|suits|suitable for|compatible with)\b(?!\s+(?:men|women|kids|youth|boys|girls|adults|everyone)\s*(?:$|[,;|/-]))")
 _SEGMENT = re.compile(r"\s+[-–—|/•·]+\s+|\s*[|;,•·]\s*|\s+/\s*|\s*/\s+")
 _TYPED = re.compile(r"\d+(?:\.\d+)?\s*(?:oz|g|grams?|mm|cm)\b|\bdrop\b|\b(?:us|eu|uk|size)\s*\d+(?:\.\d+)?|\b(?:19|20)\d\d\b|\b(?:ss|fw|aw)\d\d\b")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ]{4})(?=[A-ZÀ-Þ][a-zà-ÿ]{2})")
@@ -241,8 +243,8 @@ class Parser:
 
     @staticmethod
     def accessory(title: str) -> bool:
-        """Whether the title starts with a thing that is *for* something."""
-        return bool(re.match(r"\s*(?:[^\W\d_]+\s+){1,4}for\b", folded(plain_title(title))))
+        """Whether the title starts with a thing that is *for* something, or fits it."""
+        return bool(_FOR.match(folded(plain_title(title))))
 
 
 def brand_key(brand: str | None) -> str:

@@ -48,6 +48,20 @@ def test_groups(spark):
     assert listings.groups(df.limit(0)).count() == 0
 
 
+def test_accessories_are_told_by_what_they_are_for():
+    for title in ("Shoe bag - fits NORVICA Vozafine Vertex 2", "Laces: compatible with Zed 3", "Insole set for Zed 3", "Heel grips to fit Zed"):
+        assert listings.Parser.accessory(title)
+    for title in ("Norvica Vozafine Vertex for men", "Norvica Vertex for women, red", "Norvica Zed 3 low, for outdoor courts"):
+        assert not listings.Parser.accessory(title)
+
+
+def test_titles_without_a_head_take_their_best_combination(spark):
+    """Lines whose second word has one partner only, words in between and brands of two words."""
+    rows = [(i, "s", f"u{i}", t, "Oak Town") for i, t in enumerate(["Oak Town Zumo Prellix Kardan 3 | red", "zumo prellix kardan 3 by Oak Town", "Zumo Prellix Kardan v3, sale", "Oak Town Melbrio Tandor 3 | red", "Melbrio Tandor 3 by Oak Town, sale", "Oak Town 7"])]
+    group = {r.ord: r.group_id for r in listings.groups(spark.createDataFrame(rows, KIND)).collect()}
+    assert group[0] == group[1] == group[2] != group[3] and group[3] == group[4] and len(set(group.values())) == 3
+
+
 def test_pairs_of_large_groups(spark):
     df = spark.range(1500).select(F.col("id").alias("ord"), F.when(F.col("id") < 1200, "hot").otherwise(F.col("id").cast("string")).alias("group_id"))
     assert listings.matching_pairs(df).count() == 1200 * 1199 // 2
