@@ -50,7 +50,6 @@ MOST_WORDS, SPAN = 4, 6
 #: Share of a line's titles that a misspelling within one edit, and one within two, may have at most.
 RARER, RARE = 0.1, 0.02
 SALT_ROWS = 512
-SALTS = 4
 CACHED_WORDS = 500_000
 #: Words of the field that are never part of a model line.
 CUTS = {"low": "low", "lo": "low", "mid": "mid", "high": "high", "hi": "high"}
@@ -294,7 +293,8 @@ def chosen(rows: DataFrame, scores: DataFrame) -> DataFrame:
 def merged_lines(clusters: DataFrame) -> DataFrame:
     """(line, into): rare lines that are a misspelling of a much commoner line of the same brand.
 
-    ``clusters`` has one row per line with ``titles`` and ``brand``. Lines meet on their delete keys.
+    ``clusters`` has one row per line with ``titles`` and ``brand``. Lines meet on hashes of their delete
+    keys; a key of very many lines, all alike but for four letters, is split by adaptive execution.
     """
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,14 +314,14 @@ def merged_lines(clusters: DataFrame) -> DataFrame:
             good = [alike(*row) for row in zip(*(batch[c].tolist() for c in columns), strict=True)]
             yield batch[np.array(good, dtype=bool)]
 
-    entered = clusters.select("line", "titles", "brand").mapInPandas(enter, "line string, titles bigint, brand string, keys array<string>")
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entered = clusters.select("line", "titles", "brand").repartition(tasks, "line").mapInPandas(enter, "line string, titles bigint, brand string, keys array<string>")
     each = entered.select("line", "titles", "brand", F.explode("keys").alias("key")).select("line", "titles", "brand", F.xxhash64("key").alias("key"))
-    # A key of very many lines is dealt over SALTS tasks.
-    rare = each.select("key", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int").alias("salt"), *[F.col(c).alias(f"a_{c}") for c in ("line", "titles", "brand")])
-    often = each.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.col(c).alias(f"b_{c}") for c in ("line", "titles", "brand")])
+    rare = each.select("key", *[F.col(c).alias(f"a_{c}") for c in ("line", "titles", "brand")])
+    often = each.select("key", *[F.col(c).alias(f"b_{c}") for c in ("line", "titles", "brand")])
     much_rarer = F.col("a_titles") <= F.greatest(F.lit(2), F.col("b_titles") * RARER)
     ordered = (F.col("a_titles") < F.col("b_titles")) | ((F.col("a_titles") == F.col("b_titles")) & (F.col("a_line") > F.col("b_line")))
-    pairs = rare.join(often, ["key", "salt"]).filter((F.col("a_line") != F.col("b_line")) & much_rarer & ordered).drop("key", "salt").distinct()
+    pairs = rare.join(often, "key").filter((F.col("a_line") != F.col("b_line")) & much_rarer & ordered).drop("key").distinct()
     good = pairs.mapInPandas(check, pairs.schema)
     once = good.groupBy(F.col("a_line").alias("line")).agg(F.max_by("b_line", F.struct("b_titles", "b_line")).alias("into"))
     twice = once.select(F.col("line").alias("into"), F.col("into").alias("further"))
