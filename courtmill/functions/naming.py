@@ -30,7 +30,7 @@ ROMAN = {
     "xxxvi": "36", "xxxvii": "37", "xxxviii": "38", "xxxix": "39", "xl": "40",
 }
 DROPPED = ("the", "basketball", "shoe", "shoes", "performance", "review", "ep", "pe", "se", "team", "edition", "ad")
-RESPELT = {"zer0": "zero", "3zer0": "3zero", "vol": "volume", "don": "don", "millenium": "millennium", "lo": "low", "way": "wxy"}
+RESPELT = {"zer0": "zero", "3zer0": "3zero", "vol": "volume", "millenium": "millennium", "lo": "low", "way": "wxy"}
 REWRITTEN = (("fly.by", "fly by"), ("air zoom", "zoom"))
 
 

@@ -60,3 +60,23 @@ def counts(**tables: DataFrame) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: The width of a report's rules and of its field names.
+RULE, NAME = 62, 22
+
+
+def coverage_text(canonical: DataFrame, records: DataFrame, unmatched: DataFrame, ambiguous: DataFrame) -> str:
+    """The coverage report as text, made of a few small aggregates; sources stand by name."""
+    by_source = {r.source: r.records for r in records_by_source(records).orderBy("source").collect()}  # a row per source
+    multi = multi_source(canonical).first()
+    shoes = multi["shoes"]
+    lines = ["", "=" * RULE, "COVERAGE REPORT", "=" * RULE, f"per-source records parsed: {by_source}", f"canonical shoes: {shoes}"]
+    lines += [f"  in {r.n_sources} source(s): {r.shoes}" for r in source_histogram(canonical).orderBy(F.desc("n_sources")).collect()]  # a row per number of sources
+    lines += [f"  cross-source (>=2): {multi['multi_source']}", "field fill rates (canonical):"]
+    rates = {r.field: r for r in fill_rates(canonical).collect()}  # a row per field
+    for field in (*MERGEABLE_NAMES, *TAGS, *CONTAINERS):
+        filled = f"  {field:{NAME}} {rates[field].filled:4}/{shoes}"
+        lines.append(filled if field in CONTAINERS else f"{filled}  ({100 * rates[field].filled / shoes if shoes else 0:3.0f}%)")
+    lines += [f"unmatched (manual review): {unmatched.count()}", f"ambiguous near-misses (manual review): {ambiguous.count()}", "=" * RULE]
+    return "\n".join(lines)

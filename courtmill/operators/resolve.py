@@ -169,3 +169,13 @@ def evidence(pairs: DataFrame, records: DataFrame) -> DataFrame:
 def follow_seeds(refs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Listing references whose model key is one of the seeds'; the brand doesn't matter."""
     return refs.join(seeds.select("model_key").distinct(), "model_key", "left_semi")
+
+
+def in_output_order(canonical_rows: DataFrame) -> DataFrame:
+    """Canonical shoes by brand and key, in the order of code points; a range partitioning, no single task."""
+    return canonical_rows.orderBy("brand", "model_key")
+
+
+def pairs_in_output_order(pairs: DataFrame) -> DataFrame:
+    """Ambiguous pairs by brand and both keys."""
+    return pairs.orderBy("brand", "a", "b")

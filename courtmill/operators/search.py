@@ -75,13 +75,13 @@ def shoe_tags(specs: str = "specs") -> Column:
     return F.array_union(F.coalesce(f"{specs}.playstyle_tags", none), F.coalesce(f"{specs}.position_tags", none))
 
 
-def normal(requests: DataFrame) -> DataFrame:
-    """Requests with all their columns; words are trimmed, and a filter that is empty asks nothing."""
+def normal(requests: DataFrame, *more: str) -> DataFrame:
+    """Requests with all their columns, and ``more``; words are trimmed, and a filter that is empty asks nothing."""
     has = set(requests.columns)
     words = [(text.trimmed(F.col(c).cast("string")) if c in has else F.lit(None).cast("string")).alias(c) for c in ("playstyle", "aesthetic")]
     hard = [(F.nullif(F.col(c).cast("string"), F.lit("")) if c in has else F.lit(None).cast("string")).alias(c) for c in HARD]
     budget = (F.col("budget") if "budget" in has else F.lit(None)).cast("double").alias("budget")
-    return requests.select("request_id", *words, budget, *hard)
+    return requests.select("request_id", *words, budget, *hard, *more)
 
 
 def _attributes(catalog: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def by_tags(requests: DataFrame, catalog: DataFrame, limit: int = LIMIT) -> Data
 
 
 def with_vectors(requests: DataFrame, embedder: models.Embedder) -> DataFrame:
-    """Requests that have words, with ``vector``; null where the model failed."""
+    """Requests that have words, with ``vector``; null where the model failed. Each text is asked for once."""
     worded = normal(requests).filter((F.coalesce("playstyle", F.lit("")) != "") | (F.coalesce("aesthetic", F.lit("")) != ""))
     asked = worded.withColumn("said", text.query_text(F.coalesce("playstyle", F.lit("")), F.coalesce("aesthetic", F.lit(""))))
 
@@ -194,7 +194,7 @@ def with_vectors(requests: DataFrame, embedder: models.Embedder) -> DataFrame:
             yield batch
 
     made = asked.select("said").distinct().mapInPandas(run, "said string, vector array<double>")
-    return asked.join(made, "said").drop("said")
+    return asked.join(checkpoint(made), "said").drop("said")  # a row per different text
 
 
 def retrieve(asked: DataFrame, catalog: DataFrame, index: DataFrame, model_id: str, limit: int = LIMIT, snippets: int = SNIPPETS) -> DataFrame:
@@ -204,7 +204,7 @@ def retrieve(asked: DataFrame, catalog: DataFrame, index: DataFrame, model_id: s
     ``limit * snippets * OVERFETCH`` chunks a request are cut first; each shoe keeps its best ``snippets``.
     """
     k = limit * snippets * OVERFETCH
-    whole = normal(asked).join(asked.select("request_id", "vector"), "request_id").filter(F.size("vector") > 0)
+    whole = normal(asked, "vector").filter(F.size("vector") > 0)
     keyed = whole.withColumn("wish", F.xxhash64("budget", *[F.coalesce(c, F.lit("\u0000")) for c in HARD], F.col("vector").cast("array<double>")))
     chunks = index.filter(F.col("model_id") == model_id).select("shoe_id", "id", "vector").join(small(_attributes(catalog).drop("tags")), "shoe_id")
 
@@ -299,7 +299,7 @@ def recommend(requests: DataFrame, catalog: DataFrame, index: DataFrame | None =
     asked = normal(valid_requests(requests))
     whole = {c: (F.col(c) if c in requests.columns else F.lit(None).cast("double" if c == "budget" else "string")) for c in ranking.SEED_FIELDS}
     seeded = valid_requests(requests).select("request_id", ranking.request_seed(**whole).alias("seed"))
-    found = ranked_candidates(requests, catalog, index, embedder, model_id)
+    found = checkpoint(ranked_candidates(requests, catalog, index, embedder, model_id))  # at most LIMIT rows a request; read twice
     ranked = found.withColumn("rank_key", ranking.primary_key(F.col("similarity"), F.col("overlap"))).join(seeded, "request_id")
     picked = choose(ranked, n, kind=requests.schema["request_id"].dataType.simpleString())
     shoes = catalog.select(F.col("id").alias("shoe_id"), "brand", "name", "price", "image_url", "affiliate_url", "specs")
@@ -353,3 +353,8 @@ def cards_of_model(candidates_df: DataFrame, answers: DataFrame) -> DataFrame:
     chips = F.slice(F.filter(F.transform("card.specs", text.trimmed), lambda s: s != ""), 1, text.MOST_CHIPS)
     made = each.select("request_id", "place", F.coalesce(chips, F.array().cast("array<string>")).alias("specs"), text.shortened(F.col("card.explanation"), 400).alias("explanation"))
     return candidates_df.join(made, ["request_id", "place"])
+
+
+def podium(cards: DataFrame) -> DataFrame:
+    """Adds ``shown_at``: the first of three stands in the middle, the second to its left."""
+    return cards.withColumn("shown_at", F.when(F.col("place") == 1, 2).when(F.col("place") == 2, 1).otherwise(F.col("place")))

@@ -291,6 +291,15 @@ ORACLE: dict[str, str] = {
         im AS (SELECT b, model_key, count(DISTINCT t) AS n_images FROM (SELECT b, model_key, unnest(image_urls) AS t FROM own) GROUP BY 1, 2)
         SELECT o.b AS brand, o.model_key, CAST(o.n AS INTEGER) AS n, coalesce(p.pros, '') AS pros, coalesce(pos.positions, '') AS positions, CAST(coalesce(im.n_images, 0) AS INTEGER) AS n_images, CAST(o.r AS INTEGER) AS n_reviews
         FROM (SELECT b, model_key, count(*) AS n, sum(coalesce(len(review_text), 0)) AS r FROM own GROUP BY 1, 2) o LEFT JOIN p USING (b, model_key) LEFT JOIN pos USING (b, model_key) LEFT JOIN im USING (b, model_key)""",
+    "canonical_values": f"""WITH {_READY}, own AS (SELECT *, row_number() OVER (PARTITION BY b, model_key ORDER BY priority, ord) AS rn FROM ready WHERE b IS NOT NULL),
+        im AS (SELECT b, model_key, string_agg(t, '|' ORDER BY place) AS images FROM (SELECT b, model_key, t, min(rn * 1000 + i) AS place FROM
+            (SELECT b, model_key, rn, unnest(image_urls) AS t, generate_subscripts(image_urls, 1) AS i FROM own) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        g AS (SELECT b, model_key, arg_min(coalesce(m, model_raw), rn) AS model, count(*) AS n_records, string_agg(url, '|' ORDER BY rn) AS urls,
+            array_to_string(list_sort(coalesce(list_distinct(list(source) FILTER (WHERE cardinality(scores) > 0)), [])), ',') AS measured,
+            array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN count({f}) > 0 THEN '{f}' END" for f in MERGEABLE_NAMES)}], lambda x: x IS NOT NULL)), ',') AS proven FROM own GROUP BY 1, 2)
+        SELECT {_slug("g.b", "g.model_key")} AS canonical_id, g.b AS brand, g.model_key, model, n_records, urls, measured, proven, coalesce(images, '') AS images FROM g LEFT JOIN im ON im.b = g.b AND im.model_key = g.model_key""",
+    "latest_requests": "SELECT user_id, event_id, event_type, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "fetch_schedule": "SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(DISTINCT url) AS fetches, TRUE AS spaced FROM fetch_result GROUP BY 1",
     "entity_metrics": f"""WITH {_READY} SELECT b AS brand, model_key, source, CAST(cardinality(arg_max(scores, ord)) AS INTEGER) AS n_scores FROM ready
         WHERE b IS NOT NULL AND cardinality(scores) > 0 GROUP BY ALL""",
     "seed_follow": f"WITH {_READY} SELECT ord, model_key FROM ready WHERE source = 'tractvale' AND model_key IN (SELECT model_key FROM ready WHERE source = 'rimvale')",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtmill.functions import naming, ranking, text, units, vectors, vocab
@@ -129,7 +129,7 @@ def vector_topk(spark, d):
 @query
 def vector_entity_search(spark, d):
     q = _query_vector(spark, d, "chunk_embedding", "id", "vector", f"model_id = '{MODEL}' and exists(vector, x -> x != 0)")
-    rows = search.hits(table(spark, d, "chunk_embedding"), table(spark, d, "shoes"), q, MODEL, Filters(budget_max=Decimal("200.00")))
+    rows = search.hits(table(spark, d, "chunk_embedding"), table(spark, d, "shoes"), q, MODEL, Filters.of_request(budget=Decimal("200.00")))
     return rows.select("shoe_id", "id", "source", (F.col("distance") + 0.0).alias("distance"), "rn")
 
 
@@ -137,7 +137,7 @@ def vector_entity_search(spark, d):
 def vector_candidates(spark, d):
     q = _query_vector(spark, d, "chunk_embedding", "id", "vector", f"model_id = '{MODEL}' and exists(vector, x -> x != 0)")
     catalog = table(spark, d, "shoes")
-    rows = search.candidates(search.hits(table(spark, d, "chunk_embedding"), catalog, q, MODEL, Filters(budget_max=Decimal("200.00"))), catalog)
+    rows = search.candidates(search.hits(table(spark, d, "chunk_embedding"), catalog, q, MODEL, Filters.of_request(budget=Decimal("200.00"))), catalog)
     return rows.select("shoe_id", "brand", "name", (F.col("distance") + 0.0).alias("distance"), F.round("similarity", 6).alias("similarity"), F.size("snippets").alias("n_snippets"), F.get("snippets", F.lit(0))["source"].alias("first_source"))
 
 
@@ -372,6 +372,16 @@ def canonical_shoes(spark, d):
     return rows.select("canonical_id", "brand", "model_key", "version", "n_records", F.size("metrics").alias("n_metrics"), F.size("provenance").alias("n_provenance"))
 
 
+@query
+def canonical_values(spark, d):
+    """The gathered lists and metrics of each canonical shoe, as text."""
+    rows = resolve.in_output_order(resolve.canonical(table(spark, d, "source_record"), table(spark, d, "source_registry"), OWN_BRANDS))
+    sources = F.array_join(F.transform("sources", lambda s: s["url"]), "|")
+    measured = F.array_join(F.array_sort(F.map_keys("metrics")), ",")
+    proven = F.array_join(F.array_sort(F.map_keys("provenance")), ",")
+    return rows.select("canonical_id", "brand", "model_key", "model", "n_records", sources.alias("urls"), measured.alias("measured"), proven.alias("proven"), F.array_join("image_urls", "|").alias("images"))
+
+
 @query
 def near_miss_block(spark, d):
     return resolve.near_blocks(resolve.key_order(_ready(spark, d))).agg(F.count(F.lit(1)).alias("pairs"))
@@ -596,3 +606,16 @@ def feedback_last_vote(spark, d):
 def feedback_windows(spark, d):
     rows = feedback.windows(table(spark, d, "events"))
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def latest_requests(spark, d):
+    return feedback.latest_only(table(spark, d, "events").select("user_id", "event_id", "event_type", "props"))
+
+
+@query
+def fetch_schedule(spark, d):
+    """For each host the number of fetches, and whether any two come closer than the spacing."""
+    rows = http.schedule(table(spark, d, "fetch_result").select("page_id", "url").dropDuplicates(["url"]))
+    gap = F.col("wait") - F.lag("wait").over(Window.partitionBy("host").orderBy("wait"))
+    return rows.withColumn("gap", gap).groupBy("host").agg(F.count(F.lit(1)).alias("fetches"), F.coalesce(F.min("gap") >= http.SPACING, F.lit(True)).alias("spaced"))

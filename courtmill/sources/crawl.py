@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from courtmill.functions import naming
 from courtmill.operators import resolve
-from courtmill.sources import html, http
+from courtmill.sources import html
 
 Layout = Callable[[DataFrame], DataFrame]
 
@@ -48,6 +48,17 @@ def limited(refs: DataFrame, limit: int | None) -> DataFrame:
     return first.withColumn("place", rank).filter(F.col("place") <= limit).drop("place")
 
 
+def until_nothing_new(pages: DataFrame, refs: DataFrame, cap: int) -> DataFrame:
+    """The references of a paged listing up to its first page without a new one, and of ``cap`` pages at most.
+
+    ``pages`` has every listing page read (source, page_no, from 1), ``refs`` what stands on them (source,
+    page_no, url and more).
+    """
+    new = refs.groupBy("source", "url").agg(F.min("page_no").alias("page_no")).select("source", "page_no").distinct()
+    stop = pages.select("source", "page_no").join(new, ["source", "page_no"], "left_anti").groupBy("source").agg(F.min("page_no").alias("stop"))
+    return refs.join(stop, "source", "left").filter((F.col("page_no") <= cap) & (F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))).drop("stop")
+
+
 def fetched(refs: DataFrame, pages: DataFrame) -> DataFrame:
     """(source, url, fetched_at, text) of the references whose page was fetched: the latest good fetch of each."""
     good = pages.filter((F.coalesce("status", F.lit(200)) == 200) & F.col("text").isNotNull())
@@ -90,8 +101,3 @@ def scrape_sources(sources: list[Source], pages: DataFrame, limit: int | None =
 def _with_names(records: DataFrame) -> DataFrame:
     """Records with the columns a model key is made of."""
     return records.withColumns({c: F.lit(None).cast("string") for c in ("brand", "model") if c not in records.columns})
-
-
-def allowed_only(refs: DataFrame, rules: DataFrame) -> DataFrame:
-    """The references that the hosts' rules allow."""
-    return http.allowed(refs, rules)

@@ -6,7 +6,7 @@ import urllib.robotparser
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: HTTP statuses worth another try.
@@ -83,6 +83,26 @@ def cached(refs: DataFrame, pages: DataFrame) -> DataFrame:
     return keyed.join(last, ["source", "key"], "left").select(*refs.columns, "key", "page.text", "page.fetched_at", F.col("page").isNotNull().alias("from_cache"))
 
 
+#: Seconds between two requests to one host, and the most that chance adds.
+SPACING, JITTER = 3.0, 1.0
+
+
+def schedule(refs: DataFrame, spacing: float = SPACING, jitter: float = JITTER, blocks: int = 256) -> DataFrame:
+    """Adds ``wait``: seconds after the start at which each reference (with ``url``) may be fetched from its host.
+
+    Two fetches of one host are at least ``spacing`` seconds apart. References are numbered within hashed
+    blocks of a host, whose sizes give each block's start, so that a hot host is no single task.
+    """
+    placed = refs.withColumn("host", host(F.col("url"))).withColumn("block", F.pmod(F.xxhash64("url"), F.lit(blocks)).cast("int"))
+    sizes = placed.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("host").orderBy("block")) - F.col("n")  # at most `blocks` rows a host
+    starts = sizes.select("host", "block", before.alias("before"))
+    numbered = placed.withColumn("rn", F.row_number().over(Window.partitionBy("host", "block").orderBy("url")))
+    chance = F.pmod(F.xxhash64(F.lit("jitter"), "url"), F.lit(10_007)) / F.lit(10_007.0)
+    joined = numbered.join(starts, ["host", "block"])
+    return joined.select(*refs.columns, "host", ((F.col("before") + F.col("rn") - 1) * (spacing + jitter) + chance * jitter).alias("wait"))
+
+
 def first_seen(refs: DataFrame, key: str = "url", order: str = "ord") -> DataFrame:
     """One row per URL, the first in order."""
     rest = [c for c in refs.columns if c != key]

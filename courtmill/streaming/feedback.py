@@ -24,6 +24,13 @@ def last_votes(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "item").agg(F.max_by(F.struct("event_type", "event_id"), F.struct("ts", "event_id")).alias("last")).select("user_id", "item", "last.event_type", "last.event_id")
 
 
+def latest_only(requests: DataFrame, session: str = "user_id", number: str = "event_id") -> DataFrame:
+    """Each session's latest request; answers to earlier ones are stale and dropped."""
+    rest = [c for c in requests.columns if c != session]
+    last = requests.groupBy(session).agg(F.max_by(F.struct(*rest), number).alias("r"))
+    return last.select(*[F.col(session) if c == session else F.col(f"r.{c}").alias(c) for c in requests.columns])
+
+
 def windows(events: DataFrame, width: str = WINDOW) -> DataFrame:
     """(window_start, event_type, n, total): counts and sums of values by tumbling window."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))

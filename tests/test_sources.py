@@ -89,6 +89,13 @@ def test_crawl_filters_limits_and_survives_bad_pages(spark):
     assert sorted(r.url for r in whole.filter("source = 'b'").collect()) == ["https://b.example/0", "https://b.example/1", "https://b.example/7"]
 
 
+def test_paged_listings_stop_where_nothing_is_new(spark):
+    pages_ = spark.createDataFrame([("a", n) for n in range(1, 6)] + [("b", n) for n in range(1, 4)], "source string, page_no int")
+    refs = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, "x"), ("a", 4, "z"), ("b", 1, "p"), ("b", 2, "q"), ("b", 3, "r")], "source string, page_no int, url string")
+    assert sorted(r.url for r in crawl.until_nothing_new(pages_, refs, 2).collect()) == ["p", "q", "x", "y"]
+    assert sorted(r.url for r in crawl.until_nothing_new(pages_, refs, 9).collect()) == ["p", "q", "r", "x", "y"]
+
+
 def test_staging(spark, tmp_path, data):
     df = spark.read.parquet(f"{data}/canonical_shoe.parquet")
     tables.write_staging(df, str(tmp_path / "c"))
