@@ -13,7 +13,7 @@ What the body holds besides unique runs is learnt from all pages, in one pass ov
 * A headline is the unique short line nearest before the page's first unique paragraph.
 * A subhead is a repeated short line that a unique line follows ``SUBHEAD_SHARE`` of the times.
 * A specification is a line of a label and a short value whose label stands next to lines of other labels
-  ``SUBHEAD_SHARE`` of the times, as rows of a table do and lone links don't.
+  ``SUBHEAD_SHARE`` of the times over all pages, as rows of a table do and lone links don't.
 
 Unique lines that only accompany the body are dropped by their form: bylines, breadcrumbs, lead-ins to
 other pages, teasers, readers' comments and bare titles. Neither the url nor the host's name counts.
@@ -368,7 +368,7 @@ def body_lines(pages: DataFrame, with_text: bool = True, broadcast_runs: int = B
     rows = checkpoint(made if with_text else made.withColumn("line", F.lit(None).cast("string")))  # read for two counts and the result
     sure = rows.filter("sure")
     heads = rows.filter("not sure and after and head is not null and line_no < last").join(small(_often(rows, "head", "followed")), "head", "left_semi")
-    specs = rows.filter("not sure and after and label is not null and beside").join(small(_often(rows, "label", "beside")), "label", "left_semi")
+    specs = rows.filter("not sure and after and label is not null").join(small(_often(rows, "label", "beside")), "label", "left_semi")
     columns = ["page_id", "line_no", "line"]
     return sure.select(columns).unionByName(heads.select(columns)).unionByName(specs.select(columns))
 
